@@ -44,9 +44,64 @@ FROM docs d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id =
 """
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(concat_ws('|', '17', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS o
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+c AS (
+  SELECT *, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * source_size AS cap FROM s),
+f AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM c),
+lv AS (SELECT rest, ws, cap / w AS ratio, r AS at FROM f WHERE rest * w <= cap * ws ORDER BY ratio, r LIMIT 1),
+t AS (
+  SELECT f.source, f.source_size, CAST(CASE WHEN lv.at IS NULL OR (f.cap / f.w, f.r) < (lv.ratio, lv.at) THEN f.cap
+    ELSE CAST(lv.rest * f.w AS DOUBLE) / CAST(lv.ws AS DOUBLE) END AS DOUBLE) AS target
+  FROM f LEFT JOIN lv ON true),
+q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+p AS (
+  SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, CAST(round(q.target) AS BIGINT) - q.whole * q.source_size AS quota,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, quota - ahead)) AS BIGINT) AS taken FROM p
+"""
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    return shards(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate}
+    return {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op4_mixing, op7_licenses, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_mixing": OP4_SQL}
