@@ -44,6 +44,12 @@ FROM docs d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id =
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predictions
+
+    return predictions(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -153,7 +159,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op4_mixing, op5_near_dedup, op7_licenses, op9_substring_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op4_mixing, op5_near_dedup, op7_licenses, op9_substring_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
