@@ -124,6 +124,13 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    out = extract(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import deduplicated
 
@@ -159,7 +166,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op4_mixing, op5_near_dedup, op7_licenses, op9_substring_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op4_mixing, op5_near_dedup, op7_licenses, op8_html_text, op9_substring_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
