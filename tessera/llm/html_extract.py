@@ -275,7 +275,7 @@ def marginals(parent: list[int], kinds: list[int], unary: list[float], pair: lis
     return one, joints
 
 
-def _labelled_pages(count: int = 60, seed: int = 11) -> Iterator[str]:
+def _labelled_pages(count: int = 90, seed: int = 11) -> Iterator[str]:
     """Pages whose content elements carry data-y=1. Regions are drawn for each page, texts are filler."""
     rng = random.Random(seed)
     vocabulary = "ra men to sil vor ane ket lo bri dan es un fel mo tir gas pel nor vi sa kum ter al".split()
@@ -295,7 +295,7 @@ def _labelled_pages(count: int = 60, seed: int = 11) -> Iterator[str]:
     def paragraph() -> str:
         kind = rng.random()
         if kind < 0.08:
-            return f"<p data-y=1>{words(1, 2)}.</p>"
+            return f"<p data-y=1>{words(1, 2)}{rng.choice(['.', '', ','])}</p>"
         if kind < 0.16:
             return f"<h2 data-y=1>{words(1, 6)}</h2>"
         if kind < 0.22:
@@ -312,6 +312,8 @@ def _labelled_pages(count: int = 60, seed: int = 11) -> Iterator[str]:
             return f'<p data-y=1>{prose(2)} <a href="/x">{words(1, 5)}</a> {prose(1)}</p>'
         if kind < 0.52:
             return f"<div data-y=1>{prose(4)}</div>"
+        if kind < 0.60:
+            return f"<p data-y=1>{words(3, 200)}</p>"
         return f"<p data-y=1>{prose(6)}</p>"
 
     def extras() -> str:

@@ -118,6 +118,32 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON comp.doc_id = d.doc_id
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_read
+
+    return archive_and_read(_table(spark, sf_dir, "pages")).select(
+        F.col("page").cast("long").alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first, sha1(h) AS hex FROM p),
+b AS (
+  SELECT *, array_to_string(list_transform(range(0, 8), lambda i:
+    translate(lpad(lower(to_base(CAST('0x' || hex[i * 5 + 1 : i * 5 + 5] AS BIGINT), 32)), 4, '0'),
+      '0123456789abcdefghijklmnopqrstuv', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), '') AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -166,8 +192,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op4_mixing, op5_near_dedup, op7_licenses, op8_html_text, op9_substring_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op4_mixing, op5_near_dedup, op6_warc, op7_licenses, op8_html_text, op9_substring_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op4_mixing": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_mixing": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL}
