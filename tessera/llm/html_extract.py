@@ -339,6 +339,9 @@ def _labelled_pages(count: int = 90, seed: int = 11) -> Iterator[str]:
 
     for _ in range(count):
         parts = [paragraph() for _ in range(rng.randint(1, 12))]
+        if rng.random() < 0.3:  # the same few words, or one endless run of them, again and again
+            one = rng.choice([words(1, 3) + ".", words(1, 3), sentence(), words(60, 300)])
+            parts = [f"<p data-y=1>{one}</p>" for _ in range(rng.randint(1, 40))]
         for _ in range(rng.choice([0, 0, 1, 2])):
             parts.insert(rng.randint(0, len(parts)), extras())
         title = f"<h1 data-y=1>{words(2, 8)}</h1>"
@@ -385,7 +388,7 @@ def _labelled_pages(count: int = 90, seed: int = 11) -> Iterator[str]:
         yield f"<body><header>{prose(2)}</header><main data-y=1>{prose(3)}</main><aside>{prose(4)}</aside><footer>{words(2, 9)}</footer></body>"
 
 
-def train(pages: Iterator[str] | None = None, *, rounds: int = 250, step: float = 1.0, decay: float = 2e-4) -> tuple[list[float], list[list[float]]]:
+def train(pages: Iterator[str] | None = None, *, rounds: int = 250, step: float = 1.0, decay: float = 2e-5) -> tuple[list[float], list[list[float]]]:
     """Weights of the features and log potentials of the edge kinds, by gradient ascent on the
     conditional log likelihood of labelled pages."""
     read = [Page(p) for p in (pages if pages is not None else _labelled_pages())]
