@@ -1,0 +1 @@
+"""Registered queries, views they run on, and multi-step jobs."""

@@ -1,0 +1 @@
+"""Structured Streaming on top of the batch operators."""
