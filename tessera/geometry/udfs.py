@@ -7,10 +7,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import polygon as g
 
-_ENVELOPE = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
+# types as objects: executors import this module without a session, which parsing text needs
+_DOUBLE, _BOOLEAN, _STRING = T.DoubleType(), T.BooleanType(), T.StringType()
+_ENVELOPE = T.StructType([T.StructField(c, _DOUBLE) for c in ("xmin", "ymin", "xmax", "ymax")])
+_REPORT = T.StructType([T.StructField("equality", _DOUBLE), T.StructField("relation", _STRING), T.StructField("overlap", _DOUBLE), T.StructField("overlap_wkt", _STRING)])
 
 
 def _pair(f):
@@ -26,38 +30,38 @@ def envelope(wkt: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["xmin", "ymin", "xmax", "ymax"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(_DOUBLE)
 def area(wkt: pd.Series) -> pd.Series:
     return pd.Series([None if w is None else g.area(g.parse(w)) for w in wkt], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(_DOUBLE)
 def area_km2(wkt: pd.Series) -> pd.Series:
     return pd.Series([None if w is None else g.area_km2(g.parse(w)) for w in wkt], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(_DOUBLE)
 def common_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pair(g.common_area)(a, b).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(_DOUBLE)
 def equality(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pair(g.equality)(a, b).astype("float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(_BOOLEAN)
 def intersects(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pair(g.intersects)(a, b)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_STRING)
 def simplify(wkt: pd.Series) -> pd.Series:
     return wkt.map(lambda w: None if w is None else g.simplify(w))
 
 
 def reproject(srid: int):
-    @F.pandas_udf("string")
+    @F.pandas_udf(_STRING)
     def to(wkt: pd.Series) -> pd.Series:
         return wkt.map(lambda w: None if w is None else g.write(g.reproject(g.parse(w), srid)))
 
@@ -67,7 +71,7 @@ def reproject(srid: int):
 def comparison(threshold: float):
     """Struct of equality, relation, overlap and overlap_wkt, as the rectangle operator gives."""
 
-    @F.pandas_udf("struct<equality:double,relation:string,overlap:double,overlap_wkt:string>")
+    @F.pandas_udf(_REPORT)
     def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(a, b, strict=True):
@@ -92,7 +96,7 @@ def comparison(threshold: float):
 
 
 def containment(threshold: float):
-    @F.pandas_udf("string")
+    @F.pandas_udf(_STRING)
     def contain(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(p: g.Shape, q: g.Shape) -> str:
             q = g.reproject(q, p.srid)
@@ -106,7 +110,7 @@ def containment(threshold: float):
     return contain
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(_DOUBLE)
 def union_area(wkts: pd.Series) -> float:
     """Aggregate: area of the union of a group's shapes, outer rings only."""
     return g.union_area([g.exterior(g.parse(w)) for w in wkts if w is not None])
@@ -123,7 +127,7 @@ def intersecting(df: DataFrame, wkt: str, shape: str, buffer: float = 0.0) -> Da
     x0, y0, x1, y1 = target.envelope
     near = df.where((F.col("xmin") <= x1 + buffer) & (F.col("xmax") >= x0 - buffer) & (F.col("ymin") <= y1 + buffer) & (F.col("ymax") >= y0 - buffer))
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(_BOOLEAN)
     def exact(w: pd.Series) -> pd.Series:
         return w.map(lambda x: x is not None and g.within_distance(target, g.parse(x), buffer))
 

@@ -668,3 +668,132 @@ def triples_export(v: Views) -> DataFrame:
 def running_counter(v: Views) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return v.table("events").select("event_id", F.sum("value").over(w).alias("running"))
+
+
+# --- shapes as polygons, and the rest of the write side ----------------------------------------------------
+
+
+@query("SELECT object_id, property, value, valid_from, valid_to, db_from, db_to FROM v_facts")
+def merge_chain(v: Views) -> DataFrame:
+    return v.facts().select("object_id", "property", "value", "valid_from", "valid_to", "db_from", "db_to")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS object_id, unnest(['name', 's_nationkey', 's_acctbal']) AS property, unnest(['xsd:string', 'xsd:int', 'xsd:double']) AS datatype,
+  TIMESTAMP '1995-01-01' + INTERVAL (s_suppkey % 9) YEAR AS valid_from, TIMESTAMP '1996-01-01' + INTERVAL (s_suppkey % 9) YEAR AS valid_to FROM supplier""")
+def write_objects(v: Views) -> DataFrame:
+    from ..schema import DatasetSchema, Fact
+
+    rows = v.table("supplier").withColumn("day", F.make_date(1995 + F.pmod("s_suppkey", F.lit(9)).cast("int"), F.lit(1), F.lit(1)))
+    schema = DatasetSchema("Supplier", "s_suppkey", (Fact("s_name", "name"), Fact("s_nationkey"), Fact("s_acctbal")), start="day", duration="1 YEAR")
+    return objects.decompose(rows, schema, at(KNOWN))["facts"].select("object_id", "property", "datatype", "valid_from", "valid_to")
+
+
+def _polygons(v: Views, kind: str) -> DataFrame:
+    return v.rectangles(kind).withColumn("wkt", Box.of().wkt)
+
+
+@query(SP + "SELECT a, b, sc AS common, CASE WHEN touch THEN 'SPATIAL_MEETS' WHEN cov THEN 'COVERS' ELSE 'SPATIAL_OVERLAPS' END AS relation FROM p")
+def compare_polygons(v: Views) -> DataFrame:
+    from ..geometry import udfs
+
+    pairs = spatial.grid_join(_polygons(v, "supplier"), _polygons(v, "part"))
+    r = udfs.comparison(0.4)(F.col("a_wkt"), F.col("b_wkt"))
+    return pairs.select(
+        F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"), F.round(udfs.common_area(F.col("a_wkt"), F.col("b_wkt")), 6).alias("common"), r["relation"].alias("relation")
+    )
+
+
+@query("SELECT object_id FROM v_part_rect WHERE xmin <= 5 AND xmax >= -5 AND ymin <= 5 AND ymax >= -5")
+def spatial_intersect_polygon(v: Views) -> DataFrame:
+    from ..geometry import udfs
+
+    return udfs.intersecting(_polygons(v, "part"), "wkt", "POLYGON ((-5 -5, 5 -5, 5 5, -5 5, -5 -5))").select("object_id")
+
+
+@query(f"""WITH g AS ({GROUPS_SQL}), x AS (SELECT group_id, object_id, unnest(range(CAST(xmin AS INT), CAST(xmax AS INT))) AS x, ymin, ymax FROM g),
+  c AS (SELECT group_id, object_id, x, unnest(range(CAST(ymin AS INT), CAST(ymax AS INT))) AS y FROM x)
+  SELECT group_id, CAST(count(DISTINCT (x, y)) AS DOUBLE) AS area, count(DISTINCT object_id) AS n FROM c GROUP BY group_id""")
+def dataset_union_area(v: Views) -> DataFrame:
+    from ..operators import aggregate
+
+    s = v.table("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("object_id"), F.concat(F.lit("G"), "s_nationkey").alias("group_id"))
+    facts = _polygons(v, "supplier").select("object_id", F.lit("asWKT").alias("property"), F.col("wkt").alias("value"))
+    out = aggregate.union_of(facts, s.select("object_id"), s)
+    return out.select("group_id", F.round("area", 6).alias("area"), "n")
+
+
+@query("""SELECT 'S' || s_suppkey AS group_id, 'SPLIT' AS direction, 'W' || s_suppkey AS union_object, 2 AS n_late, 1.0::DOUBLE AS strength FROM supplier WHERE s_suppkey % 5 <> 0""")
+def spatial_union_match(v: Views) -> DataFrame:
+    """A whole and its two halves a year later, of which every fifth lacks one."""
+    from ..operators import union
+
+    r = v.rectangles("supplier")
+    key = F.substring("object_id", 2, 20)
+    mid = (F.col("xmin") + F.col("xmax")) / 2
+    y0, y1 = F.col("ymin"), F.col("ymax")
+
+    def part(name: str, x0, x1, year: int):
+        return F.struct(
+            F.concat(F.lit(name), key).alias("object_id"), Box(x0, y0, x1, y1).wkt.alias("wkt"), at(f"{year}-01-01 00:00:00").alias("exists_from"), at(f"{year + 1}-01-01 00:00:00").alias("exists_to")
+        )
+
+    whole, left, right = part("W", F.col("xmin"), F.col("xmax"), 2000), part("L", F.col("xmin"), mid, 2001), part("R", mid, F.col("xmax"), 2001)
+    parts = F.when(F.pmod(key.cast("int"), F.lit(5)) == 0, F.array(whole, left)).otherwise(F.array(whole, left, right))
+    found = union.spatial_unions(r.select(F.col("object_id").alias("group_id"), F.inline(parts)), 0.9)
+    return found.select("group_id", "direction", "union_object", F.size("late").alias("n_late"), F.round("strength", 9).alias("strength"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT subject AS s, component AS p FROM v_splits UNION SELECT component, subject FROM v_splits
+    UNION SELECT a.component, b.component FROM v_splits a JOIN v_splits b ON a.subject = b.subject AND a.event_type = b.event_type AND a.component <> b.component),
+  r AS (SELECT 'O20' AS object_id UNION SELECT e.p FROM r JOIN e ON e.s = r.object_id) SELECT object_id FROM r""")
+def change_neighbourhood(v: Views) -> DataFrame:
+    from ..operators import equivalence
+
+    far = at("9999-01-01 00:00:00")
+    dated = v.objects().withColumn("exists_to", F.coalesce("exists_to", far))
+    events, parts, _ = relations.split_merge_events(dated, v.changes())
+    none = v.edges().limit(0)
+    return equivalence.neighbourhood(events, parts, none, v.spark.createDataFrame([("O20",)], "id string"))
+
+
+@query("""SELECT 'N' || least(a, b) AS x, 'N' || greatest(a, b) AS y FROM (SELECT n_nationkey AS a, n_nationkey + 1 AS b FROM nation WHERE n_nationkey < 24)""")
+def graph_spanning(v: Views) -> DataFrame:
+    edges = v.edges().where(F.col("relation") == "SPATIAL_MEETS")
+    weight = F.pmod(F.hash(F.least("subject", "object"), F.greatest("subject", "object")), F.lit(97)).cast("double")
+    forest = graph.spanning_forest(edges.select(F.col("subject").alias("from"), F.col("object").alias("to"), weight.alias("weight")))
+    n = lambda c: F.substring(c, 2, 9).cast("int")
+    return forest.select(
+        F.concat(F.lit("N"), F.least(n("from"), n("to"))).alias("x"), F.concat(F.lit("N"), F.greatest(n("from"), n("to"))).alias("y")
+    )
+
+
+@query("""SELECT '{"type":"Feature","id":"' || object_id || '","properties":{"xmin":' || printf('%.1f', xmin) || '},"geometry":{"type":"Polygon","coordinates":[[['
+  || printf('%.1f', xmin) || ',' || printf('%.1f', ymin) || '],[' || printf('%.1f', xmax) || ',' || printf('%.1f', ymin) || '],[' || printf('%.1f', xmax) || ',' || printf('%.1f', ymax) || '],['
+  || printf('%.1f', xmin) || ',' || printf('%.1f', ymax) || '],[' || printf('%.1f', xmin) || ',' || printf('%.1f', ymin) || ']]]}}' AS value FROM v_supplier_rect""")
+def geojson_export(v: Views) -> DataFrame:
+    from ..sources.sinks import geojson_lines
+
+    return geojson_lines(_polygons(v, "supplier"), "object_id", "wkt", ["xmin"])
+
+
+@query("""SELECT '<Placemark><name>' || object_id || '</name><ExtendedData></ExtendedData><Polygon><outerBoundaryIs><LinearRing><coordinates>' ||
+  printf('%.1f', xmin) || ',' || printf('%.1f', ymin) || chr(10) || printf('%.1f', xmax) || ',' || printf('%.1f', ymin) || chr(10) || printf('%.1f', xmax) || ',' || printf('%.1f', ymax) || chr(10)
+  || printf('%.1f', xmin) || ',' || printf('%.1f', ymax) || chr(10) || printf('%.1f', xmin) || ',' || printf('%.1f', ymin) || '</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>' AS value FROM v_supplier_rect""")
+def kml_export(v: Views) -> DataFrame:
+    from ..sources.sinks import placemark
+
+    return _polygons(v, "supplier").select(placemark(F.col("object_id"), F.col("wkt"), {}).alias("value"))
+
+
+@query("""SELECT object_id, strength * 2 AS strength FROM v_members WHERE collection_id = 'BUILDING'
+  UNION ALL SELECT object_id, strength FROM v_members WHERE collection_id <> 'BUILDING'""")
+def collection_add(v: Views) -> DataFrame:
+    new = v.members().where(F.col("collection_id") == "BUILDING").withColumn("strength", F.col("strength") * 2)
+    return coll.add(v.members(), new).select("object_id", "strength")
+
+
+@query(f"SELECT 'Order' AS class, count(*) AS n FROM v_objects WHERE class = 'Order' AND exists_from <= TIMESTAMP '{V}' AND (exists_to IS NULL OR exists_to > TIMESTAMP '{V}')")
+def sql_passthrough(v: Views) -> DataFrame:
+    """Plain SQL over the stored tables as views."""
+    v.objects().createOrReplaceTempView("objects")
+    return v.spark.sql(f"SELECT class, count(*) AS n FROM objects WHERE class = 'Order' AND exists_from <= TIMESTAMP_NTZ '{V}' AND (exists_to IS NULL OR exists_to > TIMESTAMP_NTZ '{V}') GROUP BY class")
