@@ -92,7 +92,7 @@ def shards(
     cuts = sorted({*cuts, *map(float, hot), *(h + 1.0 for h in hot)})
     part = F.lit(0)
     if hot:
-        n_parts = F.create_map(*[F.lit(x) for k, v in hot.items() for x in (k, v)])[F.col("_crc")]
+        n_parts = F.create_map(*[x for k, v in hot.items() for x in (F.lit(k).cast("long"), F.lit(v))])[F.col("_crc")]
         digits = F.conv(F.substring("_salt", 1, 7), 16, 10).cast("long")
         part = F.coalesce(F.floor(digits * n_parts / float(1 << 28)), F.lit(0)).cast("int")
 
