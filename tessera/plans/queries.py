@@ -696,7 +696,7 @@ def _polygons(v: Views, kind: str) -> DataFrame:
 def compare_polygons(v: Views) -> DataFrame:
     from ..geometry import udfs
 
-    pairs = spatial.grid_join(_polygons(v, "supplier"), _polygons(v, "part"))
+    pairs = udfs.spread(spatial.grid_join(_polygons(v, "supplier"), _polygons(v, "part")))
     r = udfs.comparison(0.4)(F.col("a_wkt"), F.col("b_wkt"))
     return pairs.select(
         F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"), F.round(udfs.common_area(F.col("a_wkt"), F.col("b_wkt")), 6).alias("common"), r["relation"].alias("relation")
