@@ -30,8 +30,13 @@ from pyspark.sql import functions as F
 from ._common import BROADCAST_ROWS, Scratch, alnum_words, let, text_key, upto
 
 
+def _run(words: Column, start: Column, length: int) -> list[Column]:
+    """The words from ``start`` on, one by one: slice() would copy the whole array each time."""
+    return [F.get(words, start + k) for k in range(length)]
+
+
 def _grams(words: Column, gram: int) -> Column:
-    return F.transform(upto(F.size(words) - (gram - 1)), lambda i: F.xxhash64(F.slice(words, i + 1, gram)))
+    return F.transform(upto(F.size(words) - (gram - 1)), lambda i: F.xxhash64(*_run(words, i, gram)))
 
 
 def _minima(words: Column, span: int, gram: int) -> Column:
@@ -39,19 +44,19 @@ def _minima(words: Column, span: int, gram: int) -> Column:
     width = span - gram + 1
     return let(
         _grams(words, gram),
-        lambda h: F.transform(upto(F.size(h) - (width - 1)), lambda j: F.array_min(F.slice(h, j + 1, width))),
+        lambda h: F.transform(upto(F.size(h) - (width - 1)), lambda j: F.least(*_run(h, j, width))),
     )
 
 
 def _short(words: Column, length: int) -> Column:
     """Hash of each run of ``length`` words, by start."""
     return F.transform(
-        upto(F.size(words) - (length - 1)), lambda j: F.xxhash64(F.lit(length), F.slice(words, j + 1, length))
+        upto(F.size(words) - (length - 1)), lambda j: F.xxhash64(F.lit(length), *_run(words, j, length))
     )
 
 
 def _window(words: Column, start: Column, length: int) -> Column:
-    return F.array_join(F.slice(words, start + 1, length), " ")
+    return F.concat_ws(" ", *_run(words, start, length))
 
 
 def _benchmark_windows(benchmark: DataFrame, item: str, text: str, span: int, gram: int) -> DataFrame:
@@ -88,9 +93,8 @@ def _intervals(at: Column, back: int) -> Column:
     words, so the furthest end before position i is among the ``back`` windows before it."""
 
     def reach(i: Column) -> Column:
-        return F.array_max(
-            F.transform(F.slice(at, F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back))), lambda x: x["end"])
-        )
+        ends = [F.get(at, i - 1 - k)["end"] for k in range(back)]
+        return F.greatest(*ends) if back > 1 else ends[0]
 
     opens = F.filter(at, lambda x, i: (i == 0) | (x["start"] > reach(i)))
     last = F.transform(at, lambda x, i: F.struct(F.get(at, i + 1)["start"].alias("next"), reach(i + 1).alias("end")))
@@ -197,7 +201,7 @@ def contamination(
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     spans = hits.select(
-        F.col("doc").alias("_hd"), F.col("tk").alias("_ht"), covered.alias("n_hit"), _intervals(F.col("at"), span * (len(lengths) + 1)).alias("hits")
+        F.col("doc").alias("_hd"), F.col("tk").alias("_ht"), covered.alias("n_hit"), _intervals(F.col("at"), span * (len(lengths) + 1) if lengths else 1).alias("hits")
     )
     items = items.select(F.col("doc").alias("_id"), F.col("tk").alias("_it"), "items")
     return (
