@@ -12,6 +12,36 @@ def instant(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def to_utc(local: Column, zone: str | Column = "UTC") -> Column:
+    """A local date or time of a zone as the stored instant; dates count from the start of day."""
+    return F.to_utc_timestamp(local.cast("timestamp"), zone).cast("timestamp_ntz")
+
+
+def compare_instants(a: Column, b: Column, precision: str = "MICROSECOND") -> Column:
+    """-1, 0 or 1; with precision DAY both are cut to their date, as for plain dates."""
+    if precision != "MICROSECOND":
+        a, b = F.date_trunc(precision, a.cast("timestamp")), F.date_trunc(precision, b.cast("timestamp"))
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
+def from_properties(exists: tuple[Column, Column, Column], valid: tuple[Column, Column, Column], database: tuple[Column, Column]) -> Column:
+    """The time a row stands for, from (from, to, at) of each axis: valid before exists before
+    database, an interval before a point. Struct of scope, start, end and at."""
+
+    def span(scope: str, start: Column, end: Column, at: Column | None = None) -> Column:
+        none = F.lit(None).cast("timestamp_ntz")
+        return F.struct(F.lit(scope).alias("scope"), start.alias("start"), end.alias("end"), (none if at is None else at).alias("at"))
+
+    none = F.lit(None).cast("timestamp_ntz")
+    return (
+        F.when(valid[0].isNotNull(), span("VALID", valid[0], valid[1]))
+        .when(valid[2].isNotNull(), span("VALID", none, none, valid[2]))
+        .when(exists[0].isNotNull(), span("EXISTS", exists[0], exists[1]))
+        .when(exists[2].isNotNull(), span("EXISTS", none, none, exists[2]))
+        .when(database[0].isNotNull(), span("DATABASE", database[0], database[1]))
+    )
+
+
 @dataclass(frozen=True)
 class Span:
     """An interval [start, end), open if end is null, or a point if ``at`` is given."""

@@ -252,6 +252,19 @@ def adjust_events(events: DataFrame, objects: DataFrame) -> DataFrame:
     return events.join(life, "object_id", "left").withColumn("at", at).select(*TABLES["events"].names)
 
 
+def add_overlaps(overlaps: DataFrame, report: DataFrame) -> DataFrame:
+    """Reified overlaps of a spatial report (a, b, overlap, overlap_wkt), one for each ordered pair."""
+    name = F.concat_ws(":", F.lit("overlap"), "a", "b")
+    new = report.where(F.col("overlap_wkt").isNotNull()).select(name.alias("overlap_id"), "a", "b", F.col("overlap_wkt").alias("wkt"), F.col("overlap").alias("pct"))
+    return overlaps.join(new.select("overlap_id"), "overlap_id", "left_anti").select(*TABLES["overlaps"].names).unionByName(new)
+
+
+def report_edges(report: DataFrame) -> DataFrame:
+    """Edges of a spatial and temporal report: equality, the spatial and the temporal relation."""
+    names = F.array_compact(F.array(F.when(F.col("equality").isNotNull(), F.lit("SPATIAL_EQUALS")), "relation", "temporal"))
+    return report.select(F.col("a").alias("subject"), F.explode(names).alias("relation"), F.col("b").alias("object")).distinct()
+
+
 def orphans(objects: DataFrame, relations: DataFrame, order: list[str]) -> DataFrame:
     """Objects without any split or merge, in order."""
     changed = relations.where(F.col("relation").contains("SPLIT") | F.col("relation").contains("MERGE")).select(F.col("subject").alias("object_id")).distinct()

@@ -110,6 +110,34 @@ class Tessera:
         """``a, b, a_wkt, b_wkt`` with the spatial report of each pair."""
         return pairs.withColumn("r", udfs.comparison(threshold)(F.col("a_wkt"), F.col("b_wkt"))).select("a", "b", "r.*")
 
+    def shapes(self, name: str, ids, t, database=None) -> DataFrame:
+        """``object_id, wkt, exists_from, exists_to`` of objects, each read at t moved into its lifetime."""
+        members = objects.only(self.objects.where(F.col("class") == name), "object_id", ids)
+        own = self.facts.where(F.col("property") == "asWKT")
+        state = objects.facts_at_adjusted_time(own, members, _time(t), _time(database))
+        lives = members.select("object_id", "exists_from", "exists_to")
+        return state.join(lives, "object_id").select("object_id", F.col("value").alias("wkt"), "exists_from", "exists_to")
+
+    def compare_ids(self, name: str, object_id: str, ids: Sequence[str], t, threshold: float = 0.9) -> DataFrame:
+        """One object against several."""
+        one = self.shapes(name, [object_id], t).select(F.col("object_id").alias("a"), F.col("wkt").alias("a_wkt"))
+        others = self.shapes(name, ids, t).select(F.col("object_id").alias("b"), F.col("wkt").alias("b_wkt"))
+        return self.compare(others.join(F.broadcast(one)), threshold)  # one row
+
+    def relate_dataset(self, name: str, valid, buffer: float = 0.0, threshold: float = 0.9) -> None:
+        """Spatial and temporal relations between all objects of a dataset whose envelopes meet, in one pass."""
+        from .operators.spatial import spatio_temporal_relations
+
+        shaped = udfs.with_envelope(self.shapes(name, None, valid), "wkt")
+        report = spatio_temporal_relations(shaped.select("object_id", "xmin", "ymin", "xmax", "ymax", "exists_from", "exists_to"), buffer, threshold)
+        self.store.write("relations", relations.add_edges(self.relations, relations.report_edges(report)))
+        self.store.write("overlaps", relations.add_overlaps(self.overlaps, report))
+
+    def union_of_ids(self, name: str, ids: Sequence[str], t, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+        """The best split or merge among objects, and what each contributes to their union."""
+        own = self.shapes(name, ids, t).withColumn("group_id", F.lit("all"))
+        return union.spatial_unions(own, threshold), union.contributions(own)
+
     def spatial_union(self, candidates: DataFrame, threshold: float = 0.9) -> DataFrame:
         return union.spatial_unions(candidates, threshold)
 

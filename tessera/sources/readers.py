@@ -40,6 +40,11 @@ class Store:
         self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{table}/_current")
         return v
 
+    def initialize(self) -> None:
+        """Empty tables: everything stored before stays in its old versions only."""
+        for name in TABLES:
+            self.write(name, empty(self.spark, name))
+
     def register_views(self) -> None:
         """All tables as temporary views, for plain SQL."""
         for name in TABLES:

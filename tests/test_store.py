@@ -74,6 +74,11 @@ def test_facade(spark, tmp_path):
         assert len(list(shapefile.read_shapes(z.read("export.shp")))) == 2
     with pytest.raises(sinks.UnsupportedFormat):
         t.export("Tract", None, "TOPOJSON")
+    assert {(r.b, r.relation) for r in t.compare_ids("Tract", "t1", ["t2"], "2000-07-01").collect()} == {("t2", "SPATIAL_MEETS")}
+    none, parts = t.union_of_ids("Tract", ["t1", "t2"], "2000-07-01")
+    assert none.count() == 0 and {r.contribution for r in parts.collect()} == {0.5}
+    t.relate_dataset("Tract", "2000-07-01")
+    assert {(r.subject, r.relation) for r in t.relations.collect()} == {("t1", "SPATIAL_MEETS"), ("t2", "SPATIAL_MEETS"), ("t1", "EQUALS"), ("t2", "EQUALS")}
     t.relate(spark.createDataFrame([("t1", "SPATIAL_MEETS", "t2")], TABLES["relations"]))
     t.infer()
     assert t.relations.where("subject = 't2' and relation = 'SPATIAL_MEETS'").count() == 1
@@ -84,6 +89,8 @@ def test_facade(spark, tmp_path):
     assert area.first().area == pytest.approx(32)
     t.remove(spark.createDataFrame([("t1",)], "id string"))
     assert {r.object_id for r in t.objects.collect()} == {"t2"} and t.collection_members.count() == 0
+    t.store.initialize()
+    assert t.objects.count() == 0 and t.store.read("objects", 1).count() == 2
 
 
 def test_shapefile_reader(spark, tmp_path):

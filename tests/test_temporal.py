@@ -95,3 +95,14 @@ def test_identifiers(spark):
     assert value(spark, ident.member_name(F.lit("getAdmCode"))) == "admCode"
     assert value(spark, ident.nearest(F.lit("populaton"), ["area", "population"])) == "population"
     assert value(spark, ident.geoid(F.lit(7), 3)) == "007"
+
+
+def test_zones_and_precision(spark):
+    day = F.lit("2000-07-01").cast("date")
+    assert value(spark, t.to_utc(day, "America/Los_Angeles")) == datetime(2000, 7, 1, 7)
+    a, b = (F.lit(x).cast("timestamp_ntz") for x in ("2000-01-01 05:00:00", "2000-01-01 09:00:00"))
+    assert value(spark, t.compare_instants(a, b)) == -1 and value(spark, t.compare_instants(a, b, "DAY")) == 0
+    none = F.lit(None).cast("timestamp_ntz")
+    got = value(spark, t.from_properties((a, none, none), (none, none, b), (a, none)))
+    assert (got.scope, got["at"]) == ("VALID", datetime(2000, 1, 1, 9))
+    assert value(spark, t.from_properties((a, b, none), (none, none, none), (a, none))).scope == "EXISTS"
