@@ -55,7 +55,8 @@ def _repeat_words(words: Column) -> Column:
             lambda s: s["n"],
         )
 
-    tri = F.transform(upto(F.size(words) - 2), lambda i: F.xxhash64(F.slice(words, i + 1, 3)))
+    # element by element: slice() would copy the whole array for every position
+    tri = F.transform(upto(F.size(words) - 2), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(3)]))
     return let(tri, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(covered(t)))
 
 
