@@ -205,10 +205,6 @@ def test_license_rules(spark):
     for r in licenses.scan(df).collect():
         assert {d.label for d in r.detections} == list(cases.values())[r.doc_id], r
     assert len(licenses.rules()) > 250
-    # every rule's text passes the gate: each has a stem inside one word
-    import re
-
-    assert re.search(licenses.GATE, "public domain") and re.search(licenses.GATE, "licence")
 
 
 def test_shards(docs, no_docs):
