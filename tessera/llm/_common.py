@@ -21,8 +21,10 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACE = "[\\x20\\x09-\\x0D]+"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 NOT_ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: A side of a join is broadcast only if it was counted to hold no more rows than this.
+#: A side of a join is broadcast only if it was counted to hold no more rows than this, ...
 BROADCAST_ROWS = 400_000
+#: ... and measured to hold no more bytes in its strings, arrays and binaries.
+BROADCAST_BYTES = 64 << 20
 
 
 def lower_ascii(text: Column) -> Column:
@@ -97,6 +99,13 @@ class Scratch:
         _remove(self.spark, f"{self.path}/{name}")
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, extra: Column | None = None) -> DataFrame:
+    """Marks a table for broadcast after counting its rows and summing ``extra``, the bytes of its columns
+    of varying length; a larger one is left to a shuffled join."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.lit(0) if extra is None else extra.cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
+
+
 def small_or_salted(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, salts: int = 64
 ) -> DataFrame:

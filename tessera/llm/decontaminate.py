@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, Scratch, alnum_words, let, text_key, upto
+from ._common import BROADCAST_ROWS, Scratch, alnum_words, broadcast_if_small, let, text_key, upto
 
 
 def _run(words: Column, start: Column, length: int) -> list[Column]:
@@ -102,10 +102,6 @@ def _intervals(at: Column, back: int) -> Column:
     return F.zip_with(opens, closes, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
-
-
 def contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -125,7 +121,6 @@ def contamination(
     spark = documents.sparkSession
     scratch = Scratch(spark, "decontaminate")
     windows = scratch.keep(_benchmark_windows(benchmark, item_id, item_text, span, gram), "windows")
-    n_windows = windows.count()
     lengths = sorted(r[0] for r in windows.where(F.col("len") < span).select("len").distinct().collect())  # < span rows
     prints = windows.select("fp").distinct().withColumn("hit", F.lit(True))
 
@@ -140,7 +135,7 @@ def contamination(
         "doc", "tk", let(words, lambda w: F.struct(F.size(w).alias("n"), fingerprints(w).alias("fps"))).alias("x")
     ).select("doc", "tk", "x.n", F.posexplode_outer("x.fps").alias("at", "fp"))
     seen = scratch.keep(
-        first.join(_maybe_broadcast(prints, n_windows, broadcast_rows), "fp", "left")
+        first.join(broadcast_if_small(prints, broadcast_rows), "fp", "left")
         .where(F.coalesce("at", F.lit(0)).eqNullSafe(0) | F.col("hit"))
         .groupBy("doc", "tk")
         .agg(
@@ -172,7 +167,7 @@ def contamination(
     found = joined.select("doc", "tk", F.inline(let(words, lambda w: candidates(w, F.col("fps")))))
     hits = scratch.keep(
         found.join(
-            _maybe_broadcast(windows.select("len", "fp", "window", "set_id"), n_windows, broadcast_rows),
+            broadcast_if_small(windows.select("len", "fp", "window", "set_id"), broadcast_rows, F.octet_length("window")),
             ["len", "fp", "window"],
         )
         .groupBy("doc", "tk")
@@ -193,9 +188,10 @@ def contamination(
         lambda s: s["n"].cast("long"),
     )
     sets = windows.select("set_id", "items").dropDuplicates(["set_id"])
+    item_bytes = F.aggregate("items", F.lit(0), lambda n, x: n + 8 + F.octet_length(x))
     items = (
         hits.select("doc", "tk", F.explode("sets").alias("set_id"))
-        .join(_maybe_broadcast(sets, n_windows, broadcast_rows), "set_id")
+        .join(broadcast_if_small(sets, broadcast_rows, item_bytes), "set_id")
         .select("doc", "tk", F.explode("items").alias("item"))
         .groupBy("doc", "tk")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes
-from ._common import BROADCAST_ROWS, Scratch
+from ._common import BROADCAST_ROWS, Scratch, broadcast_if_small
 from ._graph import components
 
 
@@ -228,14 +228,13 @@ def near_duplicates(
         .select("pc", F.ceil(2 * F.col("total") / limit).cast("int").alias("cut"))
     )
     large = scratch.keep(large, "large")
-    many = candidates.join(F.broadcast(large) if large.count() <= broadcast_rows else large, "pc", "left")
+    many = candidates.join(broadcast_if_small(large, broadcast_rows), "pc", "left")
     block = F.pmod(F.xxhash64("cls"), F.col("cut")).cast("int")
     pairs = F.when(F.col("cut").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: F.least(block, o) * F.col("cut") + F.greatest(block, o))
     )
     many = many.select("pc", "cls", pairs.alias("ks"))  # ``cut`` pairs for each member
-    if candidates.count() <= broadcast_rows:
-        many = F.broadcast(many)
+    many = broadcast_if_small(many, broadcast_rows, 4 * F.size("ks"))
     sets = docs.join(many, F.col("doc") == F.col("cls")).withColumn("k", F.explode("ks"))
     packed = sets.select("pc", "k", "cls", "text").mapInArrow(_packer(width), "pc long, k int, cls long, blob binary")
     links = packed.repartition("pc", "k").sortWithinPartitions("pc", "k").mapInArrow(_linker(percent), "u long, v long")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, Scratch
+from ._common import BROADCAST_ROWS, Scratch, broadcast_if_small
 
 NO_URL = "urn:tessera:none"
 RECORD = "urn:tessera:page:"
@@ -229,8 +229,7 @@ def write_archives(
         .where((F.col("c") > 1) & F.col("first").isNotNull())
         .select("sha1", "first")
     )
-    if repeated.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        repeated = F.broadcast(repeated)
+    repeated = broadcast_if_small(repeated, broadcast_rows)
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string"))
     rows = own.join(repeated, "sha1", "left").select(F.col("id").cast("string").alias("page"), "url", "html", refers.alias("refers_to"))
     captures = rows.mapInArrow(_archiver(base, date, file_bytes), _CAPTURE)
