@@ -115,37 +115,33 @@ def mix(
     )
 
 
+def _key(order: Column, source: Column) -> Column:
+    """One key without nulls for a document: its order already stands for id and text."""
+    return F.concat(order, F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)))
+
+
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mixture itself: every document as often as it is taken, with all its columns; the
     partly taken document of a source is cut after its last taken word."""
     doc_id, text, source = (options.get(k, k) for k in ("doc_id", "text", "source"))
     seed = options.get("seed", 17)
+    # rows that repeat a document are numbered on both sides; the join's keys are the window's, so
+    # the texts are shuffled once
     plan = (
         mix(documents, **options)
         .where(F.col("taken") > 0)
-        .groupBy("doc_id", "source", "order")  # rows that repeat a document
-        .agg(F.sort_array(F.collect_list(F.struct("whole", "part", "size"))).alias("rows"))
-        .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("order").alias("_o"), "rows")
-    )
-    key = _order(seed, documents[doc_id], documents[text])
-    one = documents.withColumn("_o1", key).dropDuplicates([doc_id, source, "_o1"])
-    joined = one.join(
-        plan, one[doc_id].eqNullSafe(F.col("_d")) & one[source].eqNullSafe(F.col("_s")) & (F.col("_o1") == F.col("_o"))
-    )
-    lengths = F.flatten(
-        F.transform(
-            "rows",
-            lambda r: F.concat(
-                F.array_repeat(r["size"], r["whole"].cast("int")),
-                F.filter(F.array(r["part"]), lambda p: p > 0),
-            ),
-        )
+        .groupBy(_key(F.col("order"), F.col("source")).alias("_k"))
+        .agg(F.sort_array(F.collect_list(F.struct("whole", "part", "size")), asc=False).alias("rows"))
+        .select("_k", F.posexplode("rows").alias("_at", "_row"))
     )
-    size = F.get(F.col("rows"), F.lit(0))["size"]
+    keyed = documents.withColumn("_k1", _key(_order(seed, documents[doc_id], documents[text]), documents[source]))
+    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_k1").orderBy(F.lit(0))))
+    joined = keyed.join(plan, (F.col("_k1") == F.col("_k")) & (F.col("_n") - F.col("_at") == 1))
+    size, whole, part = (F.col("_row")[c] for c in ("size", "whole", "part"))
+    lengths = F.concat(F.array_repeat(size, whole.cast("int")), F.filter(F.array(part), lambda p: p > 0))
     cut = F.array_join(F.slice(space_words(F.col(text)), F.lit(1), F.col("_len").cast("int")), " ")
     return (
-        joined.withColumn("_size", size)
-        .withColumn("_len", F.explode(lengths))
-        .withColumn(text, F.when(F.col("_len") < F.col("_size"), cut).otherwise(F.col(text)))
+        joined.withColumn("_len", F.explode(lengths))
+        .withColumn(text, F.when(F.col("_len") < size, cut).otherwise(F.col(text)))
         .select(*documents.columns)
     )
