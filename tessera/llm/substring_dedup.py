@@ -241,7 +241,7 @@ def removals(
     doc_id: str = "doc_id",
     text: str = "text",
     width: int = 20,
-    chunk_windows: int = 4_500_000,
+    chunk_windows: int = 2_500_000,
     bucket_windows: int = 2_000_000,
 ) -> DataFrame:
     """``doc, tk, n_removed, cuts`` of the documents that lose words; ``cuts`` packs pairs of
