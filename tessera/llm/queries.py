@@ -58,6 +58,49 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\x20\x09\x0B-\x0D]', '', 'g') <> '') AS l
+  FROM documents),
+tri AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, len(list_distinct(w)) AS n_distinct, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_upper,
+    length(t) - length(regexp_replace(t, '[!?\x{a1}\x{bf}|]', '', 'g')) AS n_marks, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id),
+f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN least(floor(100 * n_symbols / word_chars), 100) ELSE 0 END AS symbols, CASE WHEN n_lines > 0 THEN least(floor(100 * n_dup_lines / n_lines), 100) ELSE 0 END AS dup_lines,
+    CASE WHEN n_words > 0 THEN least(floor(100 * n_repeat_words / n_words), 100) ELSE 0 END AS repeats, CASE WHEN word_chars > 0 THEN least(floor(100 * n_upper / word_chars), 100) ELSE 0 END AS shouting,
+    CASE WHEN n_words > 0 THEN least(floor(100 * n_marks / n_words), 100) ELSE 0 END AS marks, CASE WHEN n_words > 0 THEN least(floor(100 * (n_words - n_distinct) / n_words), 100) ELSE 0 END AS few_words
+  FROM c),
+v AS (
+  SELECT doc_id, lang, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'shouting', 'marks', 'few_words']) AS rule, unnest([symbols, dup_lines, repeats, shouting, marks, few_words]) AS bin FROM f),
+truth AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+b AS (
+  SELECT lang, rule, bin, sum(CASE WHEN good = 1 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN good = 0 THEN 1 ELSE 0 END) AS bad
+  FROM v JOIN truth ON truth.doc_id = v.doc_id WHERE NOT base_failed GROUP BY ALL),
+st AS (
+  SELECT lang, rule, bin, sum(good) OVER (PARTITION BY lang, rule ORDER BY bin DESC) AS n_false, sum(bad) OVER (PARTITION BY lang, rule ORDER BY bin DESC) AS n_caught,
+    sum(good) OVER (PARTITION BY lang, rule) AS n_good FROM b),
+ns AS (SELECT DISTINCT n_good AS n FROM st),
+term AS (
+  SELECT n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 6) + (n - i) * ln(1 - 0.05 / 6)) AS p
+  FROM (SELECT n, unnest(range(0, least(n, CAST(ceil(n * 0.05 / 6) AS BIGINT)) + 1)) AS i FROM (SELECT CAST(n AS BIGINT) AS n FROM ns))),
+ks AS (
+  SELECT n, max(i) AS k FROM (SELECT n, i, sum(p) OVER (PARTITION BY n ORDER BY i) AS cdf FROM term) WHERE cdf <= 0.05 / (600 * (SELECT count(DISTINCT coalesce('=' || lang, '')) FROM b)) GROUP BY n),
+cut AS (
+  SELECT lang, rule, bin FROM st JOIN ks ON ks.n = st.n_good WHERE bin >= 1 AND n_false <= k AND n_caught - 20 * n_false > 0
+  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY n_caught - 20 * n_false DESC, bin DESC) = 1),
+broken AS (SELECT DISTINCT v.doc_id FROM v JOIN cut ON cut.lang IS NOT DISTINCT FROM v.lang AND cut.rule = v.rule AND v.bin >= cut.bin)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM f
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -191,9 +234,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP10_SQL = r"""
+WITH tbl AS (
+  SELECT list(c ORDER BY i) AS k FROM (
+    SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(0, 256)) AS i))),
+bytes AS (
+  SELECT DISTINCT t, list_transform(string_split_regex(regexp_replace(hex(encode(t)), '(..)', '\1 ', 'g'), ' '), lambda h: CASE WHEN h = '' THEN NULL ELSE CAST('0x' || h AS BIGINT) END) AS b
+  FROM (SELECT coalesce(text, '') AS t FROM documents)),
+crc AS (
+  SELECT t, xor(list_reduce(list_prepend(4294967295, list_filter(b, lambda x: x IS NOT NULL)), lambda c, x: xor(c >> 8, k[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, tbl),
+r AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS salt
+  FROM documents JOIN crc ON crc.t = coalesce(text, '')),
+o AS (
+  SELECT *, sum(size) OVER (ORDER BY text_crc32, salt, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead, row_number() OVER (ORDER BY text_crc32, salt, doc_id, size) AS n, sum(size) OVER () AS total FROM r),
+s AS (SELECT *, CAST((16 * (2 * ahead + size)) // (2 * total) AS INT) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(n - min(n) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op4_mixing, op5_near_dedup, op6_warc, op7_licenses, op8_html_text, op9_substring_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op4_mixing": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_mixing": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_sharding": OP10_SQL}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes
-from ._common import BROADCAST_ROWS, Scratch, text_key
+from ._common import BROADCAST_ROWS, Scratch, broadcast_if_small, text_key
 
 NO_ID = (1 << 63) - 1
 
@@ -280,9 +280,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicated(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every document; ``kept``: the words that stay, joined by a space."""
-    cuts = removals(documents, doc_id=doc_id, text=text, **options)
-    if cuts.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        cuts = F.broadcast(cuts)
+    cuts = broadcast_if_small(removals(documents, doc_id=doc_id, text=text, **options), broadcast_rows, F.octet_length("cuts"))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc"), text_key(F.col(text)).alias("tk"), F.col(text).alias("text"))
     cuts = cuts.select(F.col("doc").alias("_d"), F.col("tk").alias("_t"), "n_removed", "cuts")
     joined = docs.join(cuts, (F.coalesce("doc", F.lit(NO_ID)) == F.col("_d")) & (docs.tk == F.col("_t")), "left")
