@@ -144,7 +144,7 @@ def closure(relations: DataFrame, rules: Rules | None = None, max_rounds: int =
         new = keep(found.join(every, ["subject", "relation", "object"], "left_anti"))
         if new.isEmpty():
             return every
-        every = keep(every.unionByName(new))
+        every = every.unionByName(new)  # both are checkpointed: nothing is written again
     raise RuntimeError("the rules did not reach a fixpoint")
 
 
