@@ -7,9 +7,17 @@ from them all hashes of runs of k words, come from a few array operations.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 1 << 20)  # arrays of a megabyte or more go back to the system when freed
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
@@ -17,7 +25,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: Bytes handled at once: bounds the temporary arrays, whatever the batch.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
@@ -35,6 +43,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[:n], _inverse[:n]
 
 
+def trim() -> None:
+    """Give freed memory back: an executor's Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix64's finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -94,6 +94,7 @@ def _signer(width: int, bands: int, rows: int, seed: int):
                     ],
                     names=["doc", "n", "h1", "h2", "bands"],
                 )
+            _bytes.trim()
 
     return sign
 
@@ -128,6 +129,7 @@ def _packer(width: int):
                     pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(sets.tobytes())]
                 ).cast(pa.binary())
                 yield pa.record_batch([rows.column("pc"), rows.column("k"), rows.column("cls"), blob], names=["pc", "k", "cls", "blob"])
+            _bytes.trim()
 
     return pack
 
@@ -179,6 +181,7 @@ def _linker(percent: int):
                     group, ids, sets = key, [], []
                 ids.append(cls)
                 sets.append(np.frombuffer(blob.as_buffer(), dtype=np.uint64).copy())
+            _bytes.trim()
             if out:
                 yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
                 out = []

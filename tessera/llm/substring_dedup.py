@@ -134,6 +134,8 @@ def _hasher(width: int, buckets: int, chunk_windows: int):
                     held, n_held, number = [], 0, number + 1
                 held.append((ids[i:j][some], tks[i:j][some], n[some], hashes))
                 n_held += len(hashes)
+            del batch, raw, offsets
+            _bytes.trim()
         if held:
             yield flush()
 
@@ -187,6 +189,7 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from marks()
                 bucket, held = b, []
             held.append((chunk, blob))
+        _bytes.trim()
     yield from marks()
 
 
@@ -241,8 +244,8 @@ def removals(
     doc_id: str = "doc_id",
     text: str = "text",
     width: int = 20,
-    chunk_windows: int = 2_500_000,
-    bucket_windows: int = 2_000_000,
+    chunk_windows: int = 1_500_000,
+    bucket_windows: int = 1_000_000,
 ) -> DataFrame:
     """``doc, tk, n_removed, cuts`` of the documents that lose words; ``cuts`` packs pairs of
     64-bit word numbers (start, end). ``doc`` is NO_ID for documents without an id."""
@@ -252,8 +255,7 @@ def removals(
     buckets = 1 << max(4, min(20, (total // 6 // bucket_windows).bit_length()))
     sent = docs.mapInArrow(_hasher(width, buckets, chunk_windows), _SENT)
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_finder, _SENT)
-    marks = scratch.keep(found, "marks")
-    back = marks.repartition("chunk").sortWithinPartitions("chunk")
+    back = found.repartition("chunk").sortWithinPartitions("chunk")
     cuts = back.mapInArrow(_merger(width), _CUTS)
     return scratch.keep(
         cuts.groupBy("doc", "tk").agg(F.min(F.struct("n_removed", "cuts")).alias("x")).select("doc", "tk", "x.*"), "cuts"
@@ -262,20 +264,23 @@ def removals(
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: ``doc, text, n_removed, cuts`` to ``doc, n_words, n_removed, kept``."""
-    for batch in batches:
-        n_words, removed, kept = [], [], []
-        for text, gone, cuts in zip(batch.column("text"), batch.column("n_removed").to_pylist(), batch.column("cuts"), strict=True):
-            words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-            n_words.append(len(words))
-            removed.append(gone or 0)
-            if gone:
-                for start, end in np.frombuffer(cuts.as_buffer(), "<i8").reshape(-1, 2)[::-1].tolist():
-                    del words[start:end]
-            kept.append(b" ".join(words).decode())
-        yield pa.record_batch(
-            [batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-            names=["doc", "n_words", "n_removed", "kept"],
-        )
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            n_words, removed, kept = [], [], []
+            for text, gone, cuts in zip(batch.column("text"), batch.column("n_removed").to_pylist(), batch.column("cuts"), strict=True):
+                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
+                n_words.append(len(words))
+                removed.append(gone or 0)
+                if gone:
+                    for start, end in np.frombuffer(cuts.as_buffer(), "<i8").reshape(-1, 2)[::-1].tolist():
+                        del words[start:end]
+                kept.append(b" ".join(words))
+            yield pa.record_batch(
+                [batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["doc", "n_words", "n_removed", "kept"],
+            )
+        _bytes.trim()
 
 
 def deduplicated(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
