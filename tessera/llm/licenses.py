@@ -2,7 +2,7 @@
 
 Texts are normalised to lower-case words joined by one space. Hundreds of regexes, made
 from hand-written license names and sentence patterns plus hand-written clauses, run only
-where their keyword occurs, and only in texts that hold a license word at all. Every match
+where their keyword occurs, and only in texts that hold what some rule can't do without. Every match
 is an interval of words with the rule's priority. A detection inside an equally long or
 longer one of better priority, or inside a longer one of the same priority, is suppressed,
 so "GNU Lesser General Public License" does not also report the GPL.
@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import alnum_words, let
+from ._common import NOT_ALNUM, alnum_words, let
 
 #: The base phrases and their labels.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -127,11 +127,15 @@ CLAUSES = (
     ("all-rights-reserved", "all rights reserved", "all rights reserved", 0.6),
 )
 
-#: Stems, each within one word, of which every text that is scanned holds one.
+#: Stems, each within one word. Every text that is scanned holds one, or else matches LOOSE.
 STEMS = (
     "licen", "spdx", "permission", "redistribut", "contributors", "advertising", "applicable", "mozilla", "unencumbered", "domain", "plainly", "beer",
     "software", "warrant", "rights",
+    # names that carry a version or are whole without the word license
+    "apache", "gpl", "gfdl", "artistic",
 )
+#: What is left of the rules: grants without a stem, and names too short for one, in lower-cased text.
+LOOSE = f"[me]pl{NOT_ALNUM}|(?:released|distributed|available|published|provided|covered){NOT_ALNUM}under{NOT_ALNUM}"
 #: No match is longer than this many words, nor do more detections start in such a stretch.
 REACH = 400
 
@@ -225,7 +229,7 @@ def scan(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     cuts = F.split(body, "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
     n_words = F.size(F.filter(cuts, lambda w: w != "")).cast("long")
     # lower() knows more letters than A-Z: the gate may pass too much, never too little
-    gate = let(F.lower(body), lambda low: reduce(lambda a, s: a | F.contains(low, F.lit(s)), STEMS, F.lit(False)))
+    gate = let(F.lower(body), lambda low: reduce(lambda a, s: a | F.contains(low, F.lit(s)), STEMS, F.lit(False)) | F.rlike(low, F.lit(LOOSE)))
     padded = F.concat(F.lit(" "), F.array_join(alnum_words(body), " "), F.lit(" "))
 
     def labelled(label: str):
