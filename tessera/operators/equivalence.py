@@ -101,9 +101,10 @@ def traverse(lives: dict[str, tuple[datetime, datetime | None]], changes: Iterab
     return found
 
 
-def neighbourhood(events: DataFrame, components: DataFrame, equals: DataFrame, ids: DataFrame, max_rounds: int = 50) -> DataFrame:
+def neighbourhood(events: DataFrame, components: DataFrame, equals: DataFrame, ids: DataFrame) -> DataFrame:
     """Ids linked to the given ones by changes or equality, at any distance: the part of the graph that
-    a traversal can touch. Each round is a join of the newest ids only."""
+    a traversal can touch. Each round is a join of the newest ids only; edges go both ways, so what these
+    reach is new unless it came in this round or the one before."""
     from .relations import _checkpointer
 
     keep = _checkpointer(events.sparkSession)
@@ -114,14 +115,16 @@ def neighbourhood(events: DataFrame, components: DataFrame, equals: DataFrame, i
     eq = equals.select(F.col("subject").alias("s"), F.col("object").alias("p"))
     edges = keep(near.unionByName(siblings).unionByName(eq).unionByName(eq.select(F.col("p").alias("s"), F.col("s").alias("p"))).where("s <> p").distinct())
     seen = keep(ids.select(F.col(ids.columns[0]).alias("object_id")).distinct())
-    front = seen
-    for _ in range(max_rounds):
+    last, front, rounds = seen.limit(0), seen, 0
+    while True:
         found = edges.join(front.select(F.col("object_id").alias("s")), "s").select(F.col("p").alias("object_id")).distinct()
-        front = keep(found.join(seen, "object_id", "left_anti"))
+        last, front = front, keep(found.join(front.unionByName(last), "object_id", "left_anti"))
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        rounds += 1
+        if rounds % 50 == 0:  # a long chain makes no plan of thousands of tables
+            seen = keep(seen)
 
 
 def equivalent(objects: DataFrame, events: DataFrame, components: DataFrame, equals: DataFrame, ids: Iterable[str], t: datetime) -> set[str]:
