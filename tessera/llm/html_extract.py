@@ -35,6 +35,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that can stand in a head; any other one, or text, ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 DROPPED = frozenset("audio button canvas head iframe math noscript object option script select style svg template textarea title video".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 #: What an opening tag ends, up to the nearest of the second set.
@@ -103,8 +105,10 @@ class Page:
         while at < len(source):
             found = TAG.search(source, at)
             end = found.start() if found else len(source)
-            if end > at and not dropped:
-                part = source[at:end]
+            part = source[at:end]
+            if part and stack[-1][0] == "head" and html_lib.unescape(part).strip(" \t\n\f\r"):
+                close(len(stack) - 1)
+            if part and not dropped:
                 text.append(part)
                 if links:
                     self.linked[node] += len(part)
@@ -115,6 +119,8 @@ class Page:
             if not name:
                 continue
             name = name.lower()
+            if stack[-1][0] == "head" and (name in ("body", "html", "br") if found[1] or found[4] else name not in HEAD):
+                close(len(stack) - 1)
             if found[1] or found[4]:
                 if name in BLOCK or name in DROPPED or name == "a":
                     k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name or stack[k][0] == "#hidden" and stack[k][1] == name), 0)
