@@ -9,7 +9,7 @@ least one half are the text. The weights maximise the conditional likelihood of
 pages (expected feature counts come from the same messages); the pages are written below.
 
 Scripts, styles, form controls and other elements that never show prose are dropped while
-reading, comments and markup too. Unclosed and wrongly nested tags are closed as browsers do;
+reading, comments, hidden elements and markup too; formulas and the text inside objects stay. Unclosed and wrongly nested tags are closed as browsers do;
 an unfinished tag at the end is dropped.
 
 Defined results: a null or empty html gives an empty text; a page without content too; white
@@ -37,7 +37,7 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that can stand in a head; any other one, or text, ends it.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
-DROPPED = frozenset("audio button canvas head iframe math noscript object option script select style svg template textarea title video".split())
+DROPPED = frozenset("audio button canvas head iframe noscript option script select style svg template textarea title video".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 #: What an opening tag ends, up to the nearest of the second set.
 ENDS = {
@@ -63,7 +63,10 @@ TAG = re.compile(
     re.S,
 )
 WORDS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: One attribute: its name and its value in double, single or no quotes.
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]*+)))?+""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+CSS_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 LABEL = re.compile(r"\sdata-y=(\d)")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -232,6 +235,15 @@ N_KINDS = 4
 _seen: dict[str, tuple] = {}
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether the attributes named hidden, style or aria-hidden hide an element; of repeated names the first counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(attrs):
+        found.setdefault(name.lower(), double or single or bare)
+    style = CSS_COMMENT.sub(" ", html_lib.unescape(found.get("style", "")))
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(style))
+
+
 def _marks(attrs: str) -> tuple[tuple[int, ...], bool, int]:
     if not attrs:
         return (), False, 0
@@ -241,7 +253,7 @@ def _marks(attrs: str) -> tuple[tuple[int, ...], bool, int]:
         label = LABEL.search(attrs)
         if len(_seen) > 50_000:
             _seen.clear()
-        _seen[attrs] = marks, bool(HIDDEN.search(attrs)), int(label[1]) if label else 0
+        _seen[attrs] = marks, _hidden(attrs), int(label[1]) if label else 0
     return _seen[attrs]
 
 

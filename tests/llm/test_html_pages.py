@@ -22,3 +22,18 @@ def model():
 )
 def test_open_head(model, page, want):
     assert html_extract.main_blocks(page, model) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article data-title="the hidden cost of x"><p title="a hidden gem">Text of it, and more.</p></article>', ["Text of it, and more."]),
+        ("<article><p title='set display:none or aria-hidden=true'>Text of it, and more.</p></article>", ["Text of it, and more."]),
+        ('<article><p data-style="display:none" style="--x:display:none">Text of it, and more.</p></article>', ["Text of it, and more."]),
+        ("<article><p HIDDEN=''>no</p><p style='color:red; Display : none'>no</p><p aria-hidden=true>no</p><p>Text of it, and more.</p></article>", ["Text of it, and more."]),
+        ("<article><p>The sum <math><mi>a</mi>+<mi>b</mi></math> is known, they say.</p></article>", ["The sum a+b is known, they say."]),
+        ("<article><object data=x><param name=y><p>Text of it, and more.</p></object></article>", ["Text of it, and more."]),
+    ],
+)
+def test_only_hidden_elements_go(page, want):
+    assert [b for _, b in html_extract.Page(page).blocks] == want
