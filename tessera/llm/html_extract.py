@@ -58,8 +58,11 @@ BAD_WORDS = frozenset(
     "topbar widget widgets toc login search alert legal disclaimer modal overlay".split()
 )
 GOOD_WORDS = frozenset("article body content entry main post prose story text blog page richtext copy longform".split())
+#: Comments; tags with their attributes, whose values may hold anything: a quote counts only behind an equals
+#: sign and, if nothing closes it, as any other character; tags up to the first > where that finds no end.
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,20000}+"|'[^']{0,20000}+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|<[!?/a-zA-Z][^<>]*\Z""",
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|<[!?/a-zA-Z][^<>]*\Z""",
     re.S,
 )
 WORDS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -251,9 +254,12 @@ def _marks(attrs: str) -> tuple[tuple[int, ...], bool, int]:
         words = {w for m in WORDS.finditer(attrs) for w in SPLIT.split(CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower())}
         marks = (_BAD,) if words & BAD_WORDS else (_GOOD,) if words & GOOD_WORDS else ()
         label = LABEL.search(attrs)
+        read = marks, _hidden(attrs), int(label[1]) if label else 0
+        if len(attrs) > 1000:  # values of any length are not kept
+            return read
         if len(_seen) > 50_000:
             _seen.clear()
-        _seen[attrs] = marks, _hidden(attrs), int(label[1]) if label else 0
+        _seen[attrs] = read
     return _seen[attrs]
 
 

@@ -37,3 +37,19 @@ def test_open_head(model, page, want):
 )
 def test_only_hidden_elements_go(page, want):
     assert [b for _, b in html_extract.Page(page).blocks] == want
+
+
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_long_values(quote):
+    value = "a>b <i>" * 10_000
+    tree = html_extract.Page(f"<article data-x={quote}{value}{quote} class=entry><p>Text of it, and more.</p></article>")
+    assert [b for _, b in tree.blocks] == ["Text of it, and more."]
+    assert tree.marks[1] == html_extract._marks(" class=entry")[0] != ()
+
+
+def test_stray_quotes():
+    """Quotes that open no value, and one that nothing closes, swallow no text."""
+    for page in ("<article><p title=it's>Text of it.</p><p>It's 'more'.</p></article>", "<article><p class='x'\">Text of it.</p><p>It's 'more'.</p></article>", '<article><p title="x>Text of it.</p><p>It\'s \'more\'.</p></article>'):
+        assert [b for _, b in html_extract.Page(page).blocks] == ["Text of it.", "It's 'more'."], page
+    tags = '<p title="x" id=y>a</p>' * 40_000
+    assert len(html_extract.Page(tags + '<p title="x>end').blocks) == 40_001
