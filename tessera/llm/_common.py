@@ -134,3 +134,15 @@ def small_or_salted(
 def text_key(text: Column) -> Column:
     """With the id, tells rows of the same id but other text apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.isnull(text))
+
+
+def one_of_each(df: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """``df`` with one row for each value of ``keys``, which hold no nulls: of rows that repeat them the one
+    whose columns hash least. Only such rows are shuffled; where none repeats, ``df`` itself is given back."""
+    again = scratch.keep(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).drop("_c"), f"{name}-again")
+    if again.isEmpty():
+        return df
+    again = broadcast_if_small(again)
+    one = df.join(again, keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("_x"))
+    one = scratch.keep(one.select("_x.*"), name)
+    return df.join(again, keys, "left_anti").select(*df.columns).unionByName(one)

@@ -11,8 +11,9 @@
    removal intervals for each document; these are joined to the texts.
 
 Defined results: null and empty texts and texts of fewer than ``width`` words lose nothing;
-documents without an id come after all others; rows that repeat both id and text count as
-one document and all get its result; an empty table gives no rows. Other columns are not
+documents without an id come after all others; rows that repeat both id and text (also
+without an id) are hashed once, as one document, and all get its result; an empty table
+gives no rows. Other columns are not
 read. Windows are compared by 64-bit hash. The input has to be a table in files, or another
 one whose partitions come back with the same rows in the same order.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes
-from ._common import BROADCAST_ROWS, Scratch, broadcast_if_small, text_key
+from ._common import BROADCAST_ROWS, Scratch, broadcast_if_small, one_of_each, text_key
 
 NO_ID = (1 << 63) - 1
 
@@ -119,7 +120,7 @@ def _hasher(width: int, buckets: int, chunk_windows: int):
             return _batch([number] * len(rows), [r[0] for r in rows], [r[1] for r in rows])
 
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             tks = batch.column(1).to_numpy(zero_copy_only=False)
             raw, offsets = _bytes.text_buffers(batch.column(2))
             for i, j in _bytes.blocks(offsets):
@@ -250,16 +251,17 @@ def removals(
     """``doc, tk, n_removed, cuts`` of the documents that lose words; ``cuts`` packs pairs of
     64-bit word numbers (start, end). ``doc`` is NO_ID for documents without an id."""
     scratch = Scratch(documents.sparkSession, "substring")
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc"), text_key(F.col(text)).alias("tk"), F.col(text).alias("text"))
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    docs = documents.select(doc.alias("doc"), text_key(F.col(text)).alias("tk"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, min(20, (total // 6 // bucket_windows).bit_length()))
+    # a copy must not count as a repeat of its own document
+    docs = one_of_each(docs, ["doc", "tk"], scratch, "copies")
     sent = docs.mapInArrow(_hasher(width, buckets, chunk_windows), _SENT)
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_finder, _SENT)
     back = found.repartition("chunk").sortWithinPartitions("chunk")
     cuts = back.mapInArrow(_merger(width), _CUTS)
-    return scratch.keep(
-        cuts.groupBy("doc", "tk").agg(F.min(F.struct("n_removed", "cuts")).alias("x")).select("doc", "tk", "x.*"), "cuts"
-    )
+    return scratch.keep(cuts, "cuts")
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
