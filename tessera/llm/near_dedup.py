@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes
-from ._common import BROADCAST_ROWS, Scratch, broadcast_if_small
+from ._common import BROADCAST_ROWS, Scratch, broadcast_if_small, one_of_each, text_key
 from ._graph import components
 
 
@@ -262,7 +262,26 @@ def near_duplicates(
 
 
 def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
-    """One document of each group, with all columns: the one whose id is the group's."""
-    doc_id = options.get("doc_id", "doc_id")
+    """One document of each group, with all columns: the one whose id is the group's.
+
+    Where ids repeat or are missing, a document is an id with a text: its copies are one, and it is numbered
+    in order of id (none comes last) and text key, so that groups are made of these numbers."""
+    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    ids = documents.select(F.col(doc_id).cast("long").alias("_d"))
+    if not ids.groupBy("_d").count().where("`count` > 1 or _d is null").isEmpty():
+        return _drop_numbered(documents, doc_id, text, options)
     gone = near_duplicates(documents, **options).where(~F.col("kept")).select(F.col(doc_id).alias("_gone")).distinct()
     return documents.join(gone, documents[doc_id].cast("long") == F.col("_gone"), "left_anti")
+
+
+def _drop_numbered(documents: DataFrame, doc_id: str, text: str, options: dict) -> DataFrame:
+    scratch = Scratch(documents.sparkSession, "numbered")
+    key = F.col(doc_id).cast("long")
+    docs = documents.withColumns({"_none": key.isNull(), "_d": F.coalesce(key, F.lit(0)), "_tk": text_key(F.col(text))})
+    keys = ["_none", "_d", "_tk"]
+    docs = one_of_each(docs, keys, scratch, "copies")
+    # after a sort these numbers increase with the rows
+    numbers = scratch.keep(docs.select(*keys).orderBy(*keys).withColumn("_row", F.monotonically_increasing_id()), "numbers")
+    docs = scratch.keep(docs.join(numbers, keys).drop(*keys), "documents")
+    gone = near_duplicates(docs, **{**options, "doc_id": "_row"}).where(~F.col("kept")).select("_row")
+    return docs.join(gone, "_row", "left_anti").select(*documents.columns)
