@@ -165,7 +165,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_and_read
 
     return archive_and_read(_table(spark, sf_dir, "pages")).select(
-        F.col("page").cast("long").alias("page_id"),
+        F.when(F.col("page") != "", F.col("page").cast("long")).alias("page_id"),  # a page without an id
         F.col("bytes").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
         F.col("kind").alias("record_type"),

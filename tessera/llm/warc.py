@@ -4,7 +4,9 @@ Writing: one gzip member per record, so that a record can be read by offset and
 page whose payload equals that of a page with a smaller id becomes a revisit that names it.
 Index: capture lines are sorted by key (host reversed, then path and query) and packed into
 compressed blocks; the directory keeps only each block's first key, file, offset and length.
-Lines a block grow with the index so that the directory never exceeds ``directory_rows``.
+Lines a block grow with the index so that the directory never exceeds ``directory_rows``, and it
+holds the first ``KEY_CHARS`` characters of a key, which bounds its bytes too: cutting keeps the
+order, so a lookup reads at most a few blocks more.
 Lookup: binary search in the directory, range read of the blocks that can hold the key, then
 range reads of the records. Each distinct key is looked up once, whatever number of pages
 share it.
@@ -27,6 +29,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,23 +37,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, Scratch, broadcast_if_small
+from ._common import BROADCAST_ROWS, Scratch, small_or_salted
 
 NO_URL = "urn:tessera:none"
 RECORD = "urn:tessera:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Characters of a key that the directory holds.
+KEY_CHARS = 256
+_PLAIN = "!#$%&'()*+,/:;=?@[]~|^{}\\\"<>`"  # printable ASCII stands as it is
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::(\d*))?([^#]*)", re.I | re.S)
 
 
 def key_of(url: str | None) -> str:
-    """Sort key of a URL: host labels reversed, without scheme, user, leading www, default port and fragment."""
+    """Sort key of a URL: host labels reversed, without scheme, user, leading www, default port and fragment.
+    All but printable ASCII is percent-coded, so that a key is one word of one line."""
     if not url:
         return ""
-    clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url.strip())
+    clean = quote(url.strip(), safe=_PLAIN, errors="replace")
     found = _HOST.match(clean)
     if not found or not found[1]:
         return clean.partition("#")[0]
-    host = re.sub(r"^www\d*\.", "", found[1].lower().rstrip("."))
+    host = re.sub(r"^www\d*\.", "", quote(unquote(found[1]).lower(), safe=_PLAIN).rstrip("."))
     parts = host if host.startswith("[") else ",".join(reversed(host.split(".")))
     port = f":{found[2]}" if found[2] and found[2] not in ("80", "443") else ""
     return f"{parts}{port}){found[3] or '/'}"
@@ -68,13 +75,13 @@ def record(page: str, url: str | None, payload: bytes, digest: str, refers_to: s
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{RECORD}{page}>",
+        f"WARC-Record-ID: <{RECORD}{quote(page)}>",
         f"WARC-Target-URI: {target}",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{RECORD}{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: <{RECORD}{quote(refers_to)}>", f"WARC-Profile: {PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -90,7 +97,7 @@ def parse(raw: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != length or digest_of(payload) != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    plain = lambda x: x[1 + len(RECORD) : -1]
+    plain = lambda x: unquote(x[1 + len(RECORD) : -1])
     refers = fields.get("WARC-Refers-To")
     return {
         "page": plain(fields["WARC-Record-ID"]),
@@ -179,8 +186,8 @@ def _indexer(base: str, lines: int, limit: int):
         held: list[tuple] = []
 
         def block() -> pa.RecordBatch:
-            text = "".join(f"{k} {p} {f} {o} {n}\n" for k, p, f, o, n in held)
-            row = (held[0][0], *out.write(_gzip(text.encode())), len(held))
+            text = "".join(f"{k} {quote(p)} {f} {o} {n}\n" for k, p, f, o, n in held)
+            row = (held[0][0][:KEY_CHARS], *out.write(_gzip(text.encode())), len(held))
             held.clear()
             return pa.record_batch([pa.array([x]) for x in row], names=["first", "file", "offset", "length", "lines"])
 
@@ -197,9 +204,9 @@ def _indexer(base: str, lines: int, limit: int):
 
 
 def _lines(text: bytes) -> Iterator[tuple[str, str, str, int, int]]:
-    for line in text.decode().splitlines():
+    for line in text.decode().split("\n")[:-1]:
         key, page, file, offset, length = line.split(" ")
-        yield key, page, file, int(offset), int(length)
+        yield key, unquote(page), file, int(offset), int(length)
 
 
 def write_archives(
@@ -229,9 +236,8 @@ def write_archives(
         .where((F.col("c") > 1) & F.col("first").isNotNull())
         .select("sha1", "first")
     )
-    repeated = broadcast_if_small(repeated, broadcast_rows)
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string"))
-    rows = own.join(repeated, "sha1", "left").select(F.col("id").cast("string").alias("page"), "url", "html", refers.alias("refers_to"))
+    rows = small_or_salted(own, repeated, ["sha1"], limit=broadcast_rows).select(F.col("id").cast("string").alias("page"), "url", "html", refers.alias("refers_to"))
     captures = rows.mapInArrow(_archiver(base, date, file_bytes), _CAPTURE)
     captures.write.mode("overwrite").parquet(f"{base}/captures")
     captures = pages.sparkSession.read.schema(captures.schema).parquet(f"{base}/captures")
@@ -252,7 +258,7 @@ class CaptureIndex:
 
     def blocks_for(self, key: str) -> range:
         """Blocks that can hold the key: from the last that begins before it to the last that begins with it."""
-        firsts = self._firsts()
+        firsts, key = self._firsts(), key[:KEY_CHARS]
         return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
 
     def _firsts(self) -> list[str]:
@@ -277,23 +283,30 @@ class CaptureIndex:
                 pairs = [
                     (k, b)
                     for k in {key_of(u) for u in batch.column(0).to_pylist()}
-                    for b in range(max(0, bisect_left(firsts, k) - 1), bisect_right(firsts, k))
+                    for b in range(max(0, bisect_left(firsts, k[:KEY_CHARS]) - 1), bisect_right(firsts, k[:KEY_CHARS]))
                 ]
                 yield pa.record_batch([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], names=["key", "block"])
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            source, block, held = _Input(base), None, {}
+            source, block, held, rows = _Input(base), None, {}, []
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+
+            def out() -> pa.RecordBatch:
+                columns = list(zip(*rows, strict=True))
+                rows.clear()
+                return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "page", "file", "offset", "length"])
+
             for batch in batches:
-                rows = []
                 for key, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if b != block:
                         block, held = b, {}
                         for x in _lines(source.read(*shared.value[b][1:])):
                             held.setdefault(x[0], []).append(x)
                     rows += held.get(key, ())
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "page", "file", "offset", "length"])
+                    if len(rows) >= 10_000:  # a URL with many captures fills no batch
+                        yield out()
+            if rows:
+                yield out()
 
         placed = urls.select(F.col(urls.columns[0]).alias("url")).distinct().mapInArrow(place, "key string, block long").distinct()
         return placed.repartition("block").sortWithinPartitions("block").mapInArrow(fetch, _CAPTURE)
