@@ -2,13 +2,15 @@
 
 Each rule is a percentage computed from the text (symbols, repeated lines, ...); a
 document breaks the rule if its value reaches the rule's cutoff. Cutoffs are chosen for
-each stratum (language) and rule on labelled holdouts: among the 100 cutoffs on a fixed
-grid, one is admissible if the exact (Clopper-Pearson) upper bound for its rate of false
-rejections among good documents stays within the rule's share of the risk. With k
-false rejections among n good documents that holds exactly if P(Bin(n, risk) <= k) <=
-delta', so one number k* for each stratum says which cutoffs pass. delta' is delta
-divided by the number of tests (strata x rules x cutoffs; Bonferroni), hence with
-probability 1 - delta no stratum loses more than ``risk`` of its good documents.
+each stratum (language) and rule on labelled holdouts: a cutoff is admissible if the exact
+(Clopper-Pearson) upper bound for its rate of false rejections among good documents stays
+within the rule's share of the risk. With k false rejections among n good documents that
+holds exactly if P(Bin(n, risk) <= k) <= delta', so one number k* for each stratum says which
+cutoffs pass. A rule's cutoffs are nested, so they are tested in a fixed order from the
+mildest on until one fails, each at the full delta' (fixed-sequence testing): since a stricter
+cutoff rejects no fewer, those that pass are the ones with at most k* false rejections. Over
+rules and strata delta' is delta / (strata x rules) (Bonferroni); hence with probability
+1 - delta no stratum loses more than ``risk`` of its good documents.
 Among the admissible cutoffs the one with most rejected bad documents less ``price`` times
 the rejected good ones is taken, the mildest on ties; if none is admissible or none helps,
 the rule is off there.
@@ -170,7 +172,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = 0.05, delta
         F.sum("good").over(whole).alias("n_good"),
     )
     strata = bins.select("stratum").distinct().agg(F.count(F.lit(1)).alias("n_strata"))
-    tests = F.lit(100 * len(RULES)) * F.col("n_strata")
+    tests = F.lit(len(RULES)) * F.col("n_strata")  # the cutoffs of a rule are one sequence
     best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("bin"))
     return (
         steps.join(F.broadcast(strata))  # one row
@@ -184,13 +186,13 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = 0.05, delta
 
 
 def judge(
-    documents: DataFrame, labels: DataFrame, *, risk: float = 0.05, delta: float = 0.05, stratum: str = "lang"
+    documents: DataFrame, labels: DataFrame, *, risk: float = 0.05, delta: float = 0.05, price: int = 20, stratum: str = "lang"
 ) -> DataFrame:
     """All measures of every document, ``base_failed``, ``broken`` (rules broken, sorted) and ``kept``."""
     scratch = Scratch(documents.sparkSession, "quality")
     measured = scratch.keep(measures(documents, stratum=stratum), "measures")
     chosen = scratch.keep(
-        cutoffs(measured, labels, risk=risk, delta=delta)
+        cutoffs(measured, labels, risk=risk, delta=delta, price=price)
         .groupBy("stratum")
         .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")),
         "cutoffs",

@@ -58,7 +58,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP3_SQL = r"""
+def quality_rules_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules at a risk so high that small tables have labels enough: cutoffs are on there too."""
+    from .quality import judge
+
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), risk=0.6, delta=0.6, price=1).select(
+        "doc_id", "base_failed", F.array_join("broken", ",").alias("broken"), "kept"
+    )
+
+
+def _op3_sql(risk: str, delta: str, price: int, rows: str) -> str:
+    return OP3_CORE.replace("$RISK", risk).replace("$DELTA", delta).replace("$PRICE", str(price)) + rows
+
+
+OP3_CORE = r"""
 WITH d AS (
   SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\x20\x09\x0B-\x0D]', '', 'g') <> '') AS l
@@ -89,16 +102,23 @@ st AS (
     sum(good) OVER (PARTITION BY lang, rule) AS n_good FROM b),
 ns AS (SELECT DISTINCT n_good AS n FROM st),
 term AS (
-  SELECT n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 6) + (n - i) * ln(1 - 0.05 / 6)) AS p
-  FROM (SELECT n, unnest(range(0, least(n, CAST(ceil(n * 0.05 / 6) AS BIGINT)) + 1)) AS i FROM (SELECT CAST(n AS BIGINT) AS n FROM ns))),
+  SELECT n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln($RISK / 6) + (n - i) * ln(1 - $RISK / 6)) AS p
+  FROM (SELECT n, unnest(range(0, least(n, CAST(ceil(n * $RISK / 6) AS BIGINT)) + 1)) AS i FROM (SELECT CAST(n AS BIGINT) AS n FROM ns))),
 ks AS (
-  SELECT n, max(i) AS k FROM (SELECT n, i, sum(p) OVER (PARTITION BY n ORDER BY i) AS cdf FROM term) WHERE cdf <= 0.05 / (600 * (SELECT count(DISTINCT coalesce('=' || lang, '')) FROM b)) GROUP BY n),
+  SELECT n, max(i) AS k FROM (SELECT n, i, sum(p) OVER (PARTITION BY n ORDER BY i) AS cdf FROM term) WHERE cdf <= $DELTA / (6 * (SELECT count(DISTINCT coalesce('=' || lang, '')) FROM b)) GROUP BY n),
 cut AS (
-  SELECT lang, rule, bin FROM st JOIN ks ON ks.n = st.n_good WHERE bin >= 1 AND n_false <= k AND n_caught - 20 * n_false > 0
-  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY n_caught - 20 * n_false DESC, bin DESC) = 1),
-broken AS (SELECT DISTINCT v.doc_id FROM v JOIN cut ON cut.lang IS NOT DISTINCT FROM v.lang AND cut.rule = v.rule AND v.bin >= cut.bin)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM f
+  SELECT lang, rule, bin FROM st JOIN ks ON ks.n = st.n_good WHERE bin >= 1 AND n_false <= k AND n_caught - $PRICE * n_false > 0
+  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY n_caught - $PRICE * n_false DESC, bin DESC) = 1),
+broken AS (SELECT v.doc_id, string_agg(v.rule, ',' ORDER BY v.rule) AS rules FROM v JOIN cut ON cut.lang IS NOT DISTINCT FROM v.lang AND cut.rule = v.rule AND v.bin >= cut.bin GROUP BY 1)
 """
+OP3_SQL = _op3_sql(
+    "0.05", "0.05", 20,
+    "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM f",
+)
+LOOSE_SQL = _op3_sql(
+    "0.6", "0.6", 1,
+    "SELECT f.doc_id, base_failed, coalesce(rules, '') AS broken, NOT base_failed AND rules IS NULL AS kept FROM f LEFT JOIN broken ON broken.doc_id = f.doc_id",
+)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +274,8 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(n - min(n) OVER (PA
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op4_mixing, op5_near_dedup, op6_warc, op7_licenses, op8_html_text, op9_substring_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, quality_rules_loose, op4_mixing, op5_near_dedup, op6_warc, op7_licenses, op8_html_text, op9_substring_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_mixing": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_sharding": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_quality_rules": OP3_SQL, "quality_rules_loose": LOOSE_SQL, "op4_mixing": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_sharding": OP10_SQL}

@@ -225,3 +225,11 @@ def test_shards_of_a_hot_text(spark):
     assert {(r[0], r[3], r[4]) for r in got} == {(r.doc_id, r.shard, r.slot) for r in sharding.shards(df).collect()}
     odd = spark.createDataFrame([(None, None), (None, None), (1, "a"), (1, "a")], "doc_id long, text string")
     assert sorted(r.size for r in sharding.shards(odd, n_shards=2).collect()) == [1, 1, 2, 2]
+
+
+def test_loose_rules_decide(spark):
+    """At the sf of the correctness gate cutoffs are on, so SQL and Spark are compared where they decide."""
+    from tessera.llm import queries
+
+    out = queries.quality_rules_loose(spark, "/root/testdata/sf0.01")
+    assert out.where("not base_failed and not kept").count() > 20
