@@ -147,6 +147,8 @@ def contamination(
     )
 
     suspects = seen.where(F.size("fps") > 0).select(F.col("doc").alias("_d"), F.col("tk").alias("_t"), "fps")
+    # few documents are suspects: the texts stay where they are unless their list is large
+    suspects = broadcast_if_small(suspects, broadcast_rows, 8 * F.size("fps"))
     joined = docs.join(suspects, docs.doc.eqNullSafe(F.col("_d")) & (docs.tk == F.col("_t")))
 
     def candidates(w: Column, fps: Column) -> Column:
@@ -228,5 +230,6 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) ->
         .select(F.col(doc_id).alias("_bad_id"), F.col("tk").alias("_bad_tk"))
         .distinct()
     )
+    bad = broadcast_if_small(Scratch(documents.sparkSession, "contaminated").keep(bad, "bad"), options.get("broadcast_rows", BROADCAST_ROWS))
     match = documents[doc_id].eqNullSafe(F.col("_bad_id")) & (text_key(documents[text]) == F.col("_bad_tk"))
     return documents.join(bad, match, "left_anti")
