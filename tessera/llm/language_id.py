@@ -1,24 +1,25 @@
 """Language ID by prediction by partial matching.
 
-For each language a tree of byte contexts of length 2, 1 and 0 counts which symbol follows.
-A symbol that its context has not seen is coded by an escape and the next shorter context,
-in which symbols seen in the longer one are excluded (PPM, escape method C); below length 0
-the symbols left are equally likely. Statistics are frozen after training, so the code
-length of a symbol depends on it and the two before it alone: the tree of each language
-becomes one table of exact code lengths, and a text's code length under each language is a
-sum over the whole text. The language with the shortest code wins.
+For each language a tree of byte contexts of length ``order``, ... 1, 0 counts which symbol
+follows. A symbol is coded in the longest context that the tree knows; one that this context
+has not seen is coded by an escape (method C: as likely as the context has kinds of symbols)
+and the next shorter context, and below length 0 the symbols left are equally likely.
+Statistics are frozen after training, so a text's code length under each language is a sum over
+its symbols, over the whole text. The language with the shortest code wins.
 
 Symbols: lower-cased bytes; digits, white space and other ASCII characters are one symbol
-each; the ``alphabet`` most frequent of them in training are kept apart, the rest is one.
+each. Nothing else is merged: all bytes of other scripts are kept apart.
 
-Bounds: at most ``languages`` languages (the most frequent in training) and about
-``per_language`` training texts of each, drawn by a hash of the id. The tables take
-4 * (alphabet + 1)**3 bytes a language: 3.7 MB with the defaults, 940 MB at most.
+The trees are hashed tables of fixed size. A slot belongs to the string that is most frequent in
+training among those that fall there, is checked by 16 more bits of its hash, and holds one value
+for each language; what finds no slot is coded by escape. All tables together have about ``cells``
+values (more only with over a thousand languages): slots grow fewer as languages grow more, and no
+language is left out. Bound on training: about ``per_language`` texts of each, drawn by a hash of the id.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, or if there is
 nothing to learn from; ties go to the first language in order. A null id counts as an empty
 string. ``score`` is the winner's share of 2**-bits over the languages, the evidence scaled
-down to that of 64 symbols, so long texts don't all score 1.
+down to that of 64 symbols, so long texts don't all score 1. Rows that repeat get equal results.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import _bytes
+from ._common import Scratch
 
 UNKNOWN = "und"
+#: More than there are symbols: a string of symbols is a number in this base.
 _BASE = 160
-_SYMBOL = np.zeros(256, dtype=np.int64)
+_SYMBOL = np.zeros(256, dtype=np.uint8)
 _SYMBOL[:128] = 28
 _SYMBOL[[9, 10, 11, 12, 13, 32]] = 26
 _SYMBOL[48:58] = 27
@@ -45,6 +48,9 @@ _SYMBOL[97:123] = np.arange(26)
 _SYMBOL[65:91] = np.arange(26)
 _SYMBOL[128:] = np.arange(29, 29 + 128)
 _BLANK = 26
+_KINDS = 157
+#: Bytes worked on at once: bounds the temporary arrays, however long a text is.
+_STEP = 1 << 16
 
 
 def remainder(doc_id: Column) -> Column:
@@ -52,69 +58,71 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def _triples(raw: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte its symbol and the two before it; a text begins after two blanks."""
-    s = symbol[raw]
-    blank = symbol[32]
-    first = offsets[:-1][np.diff(offsets) > 0]
-    one = np.empty_like(s)
-    one[1:] = s[:-1]
-    one[first] = blank
-    two = np.empty_like(s)
-    two[2:] = s[:-2]
-    two[first] = blank
-    second = first[np.diff(np.append(first, len(s))) > 1] + 1
-    two[second] = blank
-    return two, one, s
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: ``lang, text`` to counts of ``lang, code``."""
-    totals: dict[str, np.ndarray] = {}
-    for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        lower = pc.utf8_lower(batch.column(1))
-        for lang in sorted(set(langs)):
-            raw, offsets = _bytes.text_buffers(lower.filter(pa.array(langs == lang)))
-            total = totals.setdefault(lang, np.zeros(_BASE**3, dtype=np.int64))
-            for i, j in _bytes.blocks(offsets):
-                lo, hi = offsets[i], offsets[j]
-                two, one, s = _triples(raw[lo:hi], offsets[i : j + 1] - lo, _SYMBOL)
-                codes, n = np.unique((two * _BASE + one) * _BASE + s, return_counts=True)
-                total[codes] += n
-    for lang, total in totals.items():
-        codes = np.flatnonzero(total)
-        yield pa.record_batch(
-            [pa.array([lang] * len(codes)), pa.array(codes), pa.array(total[codes])], names=["lang", "code", "n"]
-        )
+def _slots(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of a string in its table, and 16 bits that tell it from others there."""
+    h = _bytes.mix64(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def _strings(symbols: np.ndarray, starts: np.ndarray, lo: int, hi: int, order: int) -> np.ndarray:
+    """For the symbols lo..hi-1, the number of the string of order + 1 symbols that ends there; texts, whose starts
+    are given, begin after blanks. Modulo a power of the base it is that of a shorter string."""
+    left = max(lo - order, 0)
+    near = np.full(order + hi - lo, _BLANK, dtype=np.int64)
+    near[order - (lo - left) :] = symbols[left:hi]
+    code = near[order:].copy()
+    for k in range(1, order + 1):
+        code += near[order - k : len(near) - k] * _BASE**k
+    for j in range(order - 1, -1, -1):  # a text's first symbols: what comes before is another text's
+        at = starts + (j - lo)
+        at = at[(at >= 0) & (at < hi - lo)]
+        code[at] = code[at] % _BASE ** (j + 1) + sum(_BLANK * _BASE**k for k in range(j + 1, order + 1))
+    return code
+
+
+def _full(offsets: np.ndarray) -> np.ndarray:
+    """Numbers of the texts that are not empty."""
+    return np.flatnonzero(np.diff(offsets))
+
+
+def _counter(order: int, bits: int):
+    """mapInArrow: ``lang, text`` to counts of strings with their slots and those of their contexts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            lower = pc.utf8_lower(batch.column(1))
+            for lang in sorted(set(langs)):
+                raw, offsets = _bytes.text_buffers(lower.filter(pa.array(langs == lang)))
+                full = _full(offsets)
+                symbols = _SYMBOL[raw]
+                for lo in range(0, len(raw), 8 * _STEP):
+                    whole = _strings(symbols, offsets[full], lo, min(lo + 8 * _STEP, len(raw)), order)
+                    for k in range(order + 1):
+                        code, n = np.unique(whole % _BASE ** (k + 1), return_counts=True)
+                        context = code // _BASE if k else np.zeros_like(code)
+                        # the number of a string with its last symbol cut off is that of its context
+                        yield pa.record_batch(
+                            [pa.array([lang] * len(code)), pa.array(np.full(len(code), k, np.int32)), pa.array(code), pa.array(_slots(code, bits)[0]),
+                             pa.array(context), pa.array(_slots(context, bits)[0]), pa.array(n)],
+                            names=["lang", "k", "code", "slot", "ctx", "ctx_slot", "n"],
+                        )
+            _bytes.trim()
+
+    return count
 
 
 @dataclass(frozen=True)
 class Model:
+    """For each order from 1 on two tables of slots by languages with 16 bits for each slot: the code lengths of
+    strings, escapes included where a language has to escape, and those of escapes from contexts."""
+
     languages: tuple[str, ...]
-    symbol: np.ndarray  # byte to symbol
-    size: int  # symbols
-    bits: np.ndarray  # language, (two before, one before, symbol)
-
-
-def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Bits of every symbol after every two, from counts of the same shape."""
-    c2 = counts.astype(np.float64)
-    c1, c0 = c2.sum(axis=0), c2.sum(axis=(0, 1))
-    size = len(c0)
-    p = np.zeros_like(c2)
-    free = np.ones_like(c2, dtype=bool)  # symbols not yet excluded
-    weight = np.ones((size, size, 1))  # probability of the escapes so far
-    for c in (c2, np.broadcast_to(c1, c2.shape), np.broadcast_to(c0, c2.shape)):
-        here = np.where(free, c, 0.0)
-        n, kinds = here.sum(axis=2, keepdims=True), (here > 0).sum(axis=2, keepdims=True)
-        total = np.maximum(n + kinds, 1.0)
-        p = np.where(here > 0, weight * here / total, p)
-        weight = weight * np.where(kinds > 0, kinds / total, 1.0)
-        free &= here == 0
-    left = np.maximum(free.sum(axis=2, keepdims=True), 1)
-    p = np.where(free, weight / left, p)
-    return -np.log2(p)
+    order: int
+    bits: int
+    single: np.ndarray  # symbol, language
+    strings: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
+    escapes: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
 
 
 def train(
@@ -124,38 +132,105 @@ def train(
     text: str = "text",
     lang: str = "lang",
     per_language: int = 2000,
-    languages: int = 256,
-    alphabet: int = 96,
+    order: int = 4,
+    cells: int = 1 << 23,
 ) -> Model:
     """Learn from texts whose language is known and whose ``remainder`` is not 2."""
     known = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc")) != 2)
     )
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = known.groupBy("lang").count().collect()  # one row for each language
     names = tuple(sorted(r["lang"] for r in sizes))
     if not names:
-        return Model((), _SYMBOL.copy(), _BASE, np.zeros((0, 1), dtype=np.float32))
+        return Model((), order, 1, np.zeros((_BASE, 0), dtype=np.float32))
+    bits = min(18, max(10, int(np.log2(cells / (2 * order * len(names))))))
     rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], per_language / r["count"])])[F.col("lang")]
     u = (F.pmod(F.xxhash64(F.col("doc").cast("string"), F.lit("train")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     drawn = known.where(u < rate).select("lang", "text")
-    # at most languages * _BASE**3 rows, in practice some thousands for each language
-    rows = drawn.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    code, n = rows["code"].to_numpy(), rows["n"].to_numpy()
-    which = np.searchsorted(np.array(names), np.array(rows["lang"].to_pylist(), dtype=str)) if len(code) else np.zeros(0, int)
-    seen = np.bincount(code % _BASE, weights=n, minlength=_BASE) if len(code) else np.zeros(_BASE)
-    seen[_BLANK] += 1  # texts begin after blanks
-    ranked = np.lexsort((np.arange(_BASE), -seen))[:alphabet]
-    kept = np.sort(ranked[seen[ranked] > 0])
-    size = len(kept) + 1  # the last is the rest
-    small = np.full(_BASE, size - 1)
-    small[kept] = np.arange(len(kept))
-    bits = np.zeros((len(names), size**3), dtype=np.float32)
-    for k in range(len(names)):
-        own, weight = code[which == k], n[which == k]
-        counts = np.zeros((size, size, size))
-        np.add.at(counts, (small[own // _BASE**2], small[own // _BASE % _BASE], small[own % _BASE]), weight)
-        bits[k] = code_lengths(counts).reshape(-1)
-    return Model(names, small[_SYMBOL], size, bits)
+    scratch = Scratch(documents.sparkSession, "language")
+    keys = ["lang", "k", "code", "slot", "ctx", "ctx_slot"]
+    counts = drawn.mapInArrow(_counter(order, bits), "lang string, k int, code long, slot long, ctx long, ctx_slot long, n long")
+    counts = scratch.keep(counts.groupBy(*keys).agg(F.sum("n").alias("n")), "counts")
+    contexts = counts.groupBy("lang", "k", "ctx", "ctx_slot").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    contexts = scratch.keep(contexts, "contexts")
+
+    def owners(rows: DataFrame, code: str, slot: str, n: str) -> DataFrame:
+        """The most frequent string of each slot, over all languages."""
+        whole = rows.where("k > 0").groupBy("k", slot, code).agg(F.sum(n).alias("t"))
+        return whole.groupBy("k", slot).agg(F.max_by(code, F.struct("t", code)).alias(code))
+
+    coded = counts.join(contexts.select("lang", "k", "ctx", "total", "kinds"), ["lang", "k", "ctx"])
+    coded = coded.withColumn("b", F.log2((F.col("total") + F.col("kinds")) / F.col("n")))
+    escaped = contexts.withColumn("b", F.log2((F.col("total") + F.col("kinds")) / F.col("kinds")))
+    # at most ``cells`` rows in all
+    strings = coded.join(owners(counts, "code", "slot", "n"), ["k", "slot", "code"]).select("lang", "k", "slot", "code", "b").toArrow()
+    escapes = escaped.join(owners(contexts, "ctx", "ctx_slot", "total"), ["k", "ctx_slot", "ctx"])
+    escapes = escapes.select("lang", "k", F.col("ctx_slot").alias("slot"), F.col("ctx").alias("code"), "b").toArrow()
+    lowest = coded.where("k = 0").select("lang", "code", "b", "total", "kinds").toArrow()
+
+    def which(table: pa.Table) -> np.ndarray:
+        return np.searchsorted(np.array(names), np.array(table["lang"].to_pylist(), dtype=str))
+
+    single = np.full((_BASE, len(names)), np.nan)
+    at = which(lowest)
+    code, b, total, kinds = (lowest[c].to_numpy() for c in ("code", "b", "total", "kinds"))
+    for i in range(len(names)):
+        own = at == i
+        if own.any():
+            n, seen = total[own][0], kinds[own][0]
+            single[:, i] = np.log2((n + seen) / seen * max(1, _KINDS - seen))
+            single[code[own], i] = b[own]
+    single = np.where(np.isnan(single), np.log2(_KINDS), single)  # a language none of whose texts was drawn
+
+    def rows_of(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct strings of an order and their bits by language, NaN where one hasn't seen them."""
+        own = table.filter(pc.equal(table["k"], k))
+        code, back = np.unique(own["code"].to_numpy(), return_inverse=True)
+        values = np.full((len(code), len(names)), np.nan, dtype=np.float32)
+        values[back, which(own)] = own["b"].to_numpy()
+        return code, values
+
+    def table(code: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot, tag = _slots(code, bits)
+        out, tags = np.zeros((1 << bits, len(names)), dtype=np.float32), np.zeros(1 << bits, dtype=np.uint16)
+        out[slot], tags[slot] = values, tag
+        return out, tags
+
+    model = Model(names, order, bits, single.astype(np.float32))
+    for k in range(1, order + 1):
+        code, values = rows_of(escapes, k)
+        escape = table(code, np.nan_to_num(values))
+        code, values = rows_of(strings, k)
+        below = code_lengths(model, code % _BASE**k, k - 1)
+        below = np.where(np.isnan(values), below + _looked_up(escape, bits, code // _BASE), values)
+        model = Model(names, order, bits, model.single, (*model.strings, table(code, below)), (*model.escapes, escape))
+    return model
+
+
+def _looked_up(table: tuple[np.ndarray, np.ndarray], bits: int, code: np.ndarray) -> np.ndarray:
+    """Rows of a table, zero where the slot is another string's."""
+    slot, tag = _slots(code, bits)
+    return np.where((table[1][slot] == tag)[:, None], np.take(table[0], slot, axis=0), np.float32(0))
+
+
+def code_lengths(model: Model, code: np.ndarray, order: int) -> np.ndarray:
+    """Bits of the last symbol of strings of order + 1 symbols under each language: those of the longest string that
+    the tables hold, after the escapes from the contexts that are longer."""
+    cost = np.zeros((len(code), len(model.languages)), dtype=np.float32)
+    left = np.arange(len(code))
+    for k in range(order, 0, -1):
+        values, tags = model.strings[k - 1]
+        slot, tag = _slots(code, model.bits)
+        hit = tags[slot] == tag
+        if hit.all():
+            cost[left] += np.take(values, slot, axis=0)
+            return cost
+        cost[left[hit]] += np.take(values, slot[hit], axis=0)
+        left, code = left[~hit], code[~hit]
+        cost[left] += _looked_up(model.escapes[k - 1], model.bits, code // _BASE)
+        code = code % _BASE**k
+    cost[left] += model.single[code]
+    return cost
 
 
 def _text_scores(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,25 +240,26 @@ def _text_scores(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray
         return best, score
     lower = pc.utf8_lower(column.cast(pa.large_string()))
     raw, offsets = _bytes.text_buffers(lower)
-    for i, j in _bytes.blocks(offsets):
-        lo, hi = offsets[i], offsets[j]
-        at = offsets[i : j + 1] - lo
-        full = np.flatnonzero(np.diff(at))
-        if not len(full):
-            continue
-        part = raw[lo:hi]
-        two, one, s = _triples(part, at, model.symbol)
-        index = (two * model.size + one) * model.size + s
-        total = np.stack([np.add.reduceat(b[index], at[:-1][full], dtype=np.float64) for b in model.bits])
-        win = total.argmin(axis=0)
-        gap = total - total.min(axis=0)
-        gap *= np.minimum(1.0, 64.0 / np.diff(at)[full])
-        best[i + full] = win
-        score[i + full] = 1.0 / np.exp2(-gap).sum(axis=0)
-        ascii_letters = np.add.reduceat(((part >= 97) & (part <= 122)).astype(np.int64), at[:-1][full])
-        for k in (i + full[ascii_letters == 0]).tolist():
-            if not any(map(str.isalpha, lower[k].as_py())):
-                best[k], score[k] = -1, 0.0
+    full = _full(offsets)
+    if not len(full):
+        return best, score
+    symbols, starts = _SYMBOL[raw], offsets[full]
+    total = np.zeros((len(full), len(model.languages)))
+    letters = np.zeros(len(full), dtype=np.int64)
+    for lo in range(0, len(raw), _STEP):
+        hi = min(lo + _STEP, len(raw))
+        first = int(np.searchsorted(starts, lo, side="right")) - 1
+        last = int(np.searchsorted(starts, hi, side="left"))
+        cut = np.maximum(starts[first:last], lo) - lo
+        total[first:last] += np.add.reduceat(code_lengths(model, _strings(symbols, starts, lo, hi, model.order), model.order), cut, axis=0, dtype=np.float64)
+        letters[first:last] += np.add.reduceat((symbols[lo:hi] < 26).astype(np.int64), cut)
+    gap = total - total.min(axis=1, keepdims=True)
+    gap *= np.minimum(1.0, 64.0 / np.diff(np.append(starts, len(raw))))[:, None]
+    best[full] = total.argmin(axis=1)
+    score[full] = 1.0 / np.exp2(-gap).sum(axis=1)
+    for k in full[letters == 0].tolist():
+        if not any(map(str.isalpha, lower[k].as_py())):
+            best[k], score[k] = -1, 0.0
     return best, score
 
 

@@ -15,40 +15,6 @@ from tessera.llm import queries as q
 from . import brute
 
 
-def test_code_lengths_are_codes():
-    rng = np.random.default_rng(0)
-    counts = rng.integers(0, 3, (6, 6, 6)) * (rng.random((6, 6, 6)) < 0.3)
-    p = np.exp2(-language_id.code_lengths(counts))
-    total = p.sum(axis=2)
-    assert (total <= 1 + 1e-9).all()
-    seen_all = ((counts > 0) | (counts.sum(axis=0) > 0) | (counts.sum(axis=(0, 1)) > 0)).all(axis=2)
-    assert np.allclose(total[~seen_all], 1)
-    # one context by hand: method C with exclusion
-    counts = np.zeros((3, 3, 3))
-    counts[0, 0, 0], counts[1, 0, 1] = 3, 1
-    p = np.exp2(-language_id.code_lengths(counts))
-    assert p[0, 0, 0] == pytest.approx(3 / 4)
-    assert p[0, 0, 1] == pytest.approx(1 / 4 * 1 / 2)
-    assert p[0, 0, 2] == pytest.approx(1 / 4 * 1 / 2)
-
-
-def test_language_scores_match_plain_sums(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = language_id.train(docs)
-    texts = [r.text for r in docs.limit(20).collect()]
-    import pyarrow as pa
-
-    best, _ = language_id._text_scores(model, pa.array(texts))
-    for text, b in zip(texts, best.tolist(), strict=True):
-        raw = text.lower().encode()
-        two, one, total = int(model.symbol[32]), int(model.symbol[32]), np.zeros(len(model.languages))
-        for x in raw:
-            s = int(model.symbol[x])
-            total += model.bits[:, (two * model.size + one) * model.size + s]
-            two, one = one, s
-        assert int(total.argmin()) == b
-
-
 def test_language_holdout_and_edges(spark, no_docs):
     out = q.op2_language_id(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
