@@ -3,10 +3,13 @@
 A page is read into a tree of block elements; inline elements only add text, links and
 words. Every node is content or not: each has a potential from its features (tag, words of
 class, id and role, length of its own text, share of links, sentences), and each edge one
-between the labels of parent and child. Sum-product messages go from the leaves up and from
+between the labels of parent and child. A class or id says that an element is no content if all its words do
+("cookie-notice"); as part of a longer name ("related-work") such a word is a weak sign, which the
+marginals may outweigh. Sum-product messages go from the leaves up and from
 the root down and give each node's exact marginal; blocks of nodes with a marginal of at
 least one half are the text. The weights maximise the conditional likelihood of labelled
-pages (expected feature counts come from the same messages); the pages are written below.
+pages (expected feature counts come from the same messages); the pages are written below, and
+``_html_weights`` holds what ``train()`` makes of them, so that no query has to train.
 
 Scripts, styles, form controls and other elements that never show prose are dropped while
 reading, comments, hidden elements and markup too; formulas and the text inside objects stay. Unclosed and wrongly nested tags are closed as browsers do;
@@ -30,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._html_weights import MODEL
+
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -55,7 +60,12 @@ BAD_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus "
     "footer footnav gdpr header masthead menu meta nav navbar navigation newsletter notice notification outbrain pager pagination popup promo "
     "recommended related reply replies response responses share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags toolbar "
-    "topbar widget widgets toc login search alert legal disclaimer modal overlay".split()
+    "topbar widget widgets toc login search alert legal disclaimer modal overlay complementary contentinfo".split()
+)
+#: Words that say where or how something stands, not what it is.
+NEUTRAL = frozenset(
+    "area articles bar block bottom box buttons button col column container count desktop entries fixed form global heading icons inline inner item items js left link "
+    "links list mobile more news outer page panel posts primary region right row secondary section sub site sticky stories strip thread title top ul unit wrap wrapper".split()
 )
 GOOD_WORDS = frozenset("article body content entry main post prose story text blog page richtext copy longform".split())
 #: Comments; tags with their attributes, whose values may hold anything: a quote counts only behind an equals
@@ -202,6 +212,16 @@ class Page:
                 dropped += 1
         flush()
 
+    def kinds(self) -> list[int]:
+        """The kind of the edge from each node's parent: by the node's tag, and apart below a region that holds no content by its name."""
+        below = [False] * len(self.parent)  # whether what is below lies in such a region
+        out = []
+        for i, (parent, tag) in enumerate(zip(self.parent, self.tag, strict=True)):
+            inherited = i > 0 and below[parent]
+            below[i] = inherited or tag in REGIONS or _BAD in self.marks[i]
+            out.append(_KIND[tag] + 4 * inherited)
+        return out
+
     def features(self) -> list[tuple[int, ...]]:
         """Feature numbers of each node, after totals over subtrees."""
         n = len(self.parent)
@@ -228,13 +248,15 @@ _SHARE_AT = _SIZE_AT + 5
 _SENTENCE_AT = _SHARE_AT + 5
 _GOOD = _SENTENCE_AT + 2
 _BAD = _GOOD + 1
-N_FEATURES = _BAD + 1
+_WEAK = _BAD + 1
+N_FEATURES = _WEAK + 1
 #: Kinds of edges, by the child's tag: text elements, lists and tables, plain containers, named regions.
 _KINDS = {t: 0 for t in "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split()}
 _KINDS |= {t: 1 for t in "ul ol li dl dt dd table tbody thead tfoot tr td th caption".split()}
 _KINDS |= {t: 2 for t in "div section center main article body html details summary".split()}
 _KIND = {t: _KINDS.get(t, 3) for t in BLOCK}
-N_KINDS = 4
+N_KINDS = 8  # the second four below regions
+REGIONS = frozenset("aside dialog footer form menu nav search".split())
 _seen: dict[str, tuple] = {}
 
 
@@ -251,8 +273,11 @@ def _marks(attrs: str) -> tuple[tuple[int, ...], bool, int]:
     if not attrs:
         return (), False, 0
     if attrs not in _seen:
-        words = {w for m in WORDS.finditer(attrs) for w in SPLIT.split(CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower())}
-        marks = (_BAD,) if words & BAD_WORDS else (_GOOD,) if words & GOOD_WORDS else ()
+        names = [set(SPLIT.split(CAMEL.sub("-", n).lower())) - {""} for m in WORDS.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").split()]
+        bad = [n - BAD_WORDS - NEUTRAL - GOOD_WORDS for n in names if n & BAD_WORDS]
+        strong = any(all(len(w) < 3 for w in rest) for rest in bad)
+        good = any(n & GOOD_WORDS and not n & BAD_WORDS for n in names)
+        marks = (_BAD,) if strong else (*((_WEAK,) if bad else ()), *((_GOOD,) if good else ()))
         label = LABEL.search(attrs)
         read = marks, _hidden(attrs), int(label[1]) if label else 0
         if len(attrs) > 1000:  # values of any length are not kept
@@ -302,6 +327,7 @@ def marginals(parent: list[int], kinds: list[int], unary: list[float], pair: lis
 def _labelled_pages(count: int = 90, seed: int = 11) -> Iterator[str]:
     """Pages whose content elements carry data-y=1. Regions are drawn for each page, texts are filler."""
     rng = random.Random(seed)
+    bad = sorted(BAD_WORDS)
     vocabulary = "ra men to sil vor ane ket lo bri dan es un fel mo tir gas pel nor vi sa kum ter al".split()
 
     def words(lo: int, hi: int) -> str:
@@ -336,6 +362,10 @@ def _labelled_pages(count: int = 90, seed: int = 11) -> Iterator[str]:
             return f'<p data-y=1>{prose(2)} <a href="/x">{words(1, 5)}</a> {prose(1)}</p>'
         if kind < 0.52:
             return f"<div data-y=1>{prose(4)}</div>"
+        if kind < 0.56:  # content whose name holds a word that mostly marks something else
+            name = f"{rng.choice(bad)}-{words(1, 1)}" if rng.random() < 0.5 else f"{words(1, 1)}-{rng.choice(bad)}-{words(1, 1)}"
+            part = rng.choice(["section", "div", "article"])
+            return f'<{part} class="{name}" data-y=1><h3 data-y=1>{words(1, 4)}</h3><p data-y=1>{prose(4)}</p><p data-y=1>{prose(2)}</p></{part}>'
         if kind < 0.60:
             return f"<p data-y=1>{words(3, 200)}</p>"
         return f"<p data-y=1>{prose(6)}</p>"
@@ -356,6 +386,13 @@ def _labelled_pages(count: int = 90, seed: int = 11) -> Iterator[str]:
             ]
         )
 
+    def nested(region: str) -> str:
+        """Now and then with a container more inside."""
+        found = re.match(r"(<[^>]+>)(.*)(</\w+>)$", region, re.S)
+        if not found or rng.random() < 0.6:
+            return region
+        return f'{found[1]}<div{rng.choice(["", " class=inner", " class=x"])}>{found[2]}</div>{found[3]}'
+
     def comments() -> str:
         own = "".join(f'<div class="comment"><p>{prose(4)}</p></div>' for _ in range(rng.randint(1, 4)))
         more = "".join(f"<li><p>{prose(3)}</p></li>" for _ in range(rng.randint(1, 4)))
@@ -367,7 +404,7 @@ def _labelled_pages(count: int = 90, seed: int = 11) -> Iterator[str]:
             one = rng.choice([words(1, 3) + ".", words(1, 3), sentence(), words(60, 300)])
             parts = [f"<p data-y=1>{one}</p>" for _ in range(rng.randint(1, 40))]
         for _ in range(rng.choice([0, 0, 1, 2])):
-            parts.insert(rng.randint(0, len(parts)), extras())
+            parts.insert(rng.randint(0, len(parts)), nested(extras()))
         title = f"<h1 data-y=1>{words(2, 8)}</h1>"
         if rng.random() < 0.3:
             title = f"<header data-y=1>{title}<p>{words(2, 4)}</p></header>" if rng.random() < 0.5 else f"<header data-y=1>{title}</header>"
@@ -396,8 +433,8 @@ def _labelled_pages(count: int = 90, seed: int = 11) -> Iterator[str]:
         after = rng.choice(
             [f"<footer>&copy; {words(1, 3)} {prose(1)}</footer>", f"<footer><p>{prose(3)}</p><ul>{links(5)}</ul></footer>", f'<div class="footer"><p>&copy; {words(1, 3)}</p></div>', ""]
         )
-        page = before + (extras() if rng.random() < 0.6 else "") + wrap.format(inner)
-        page += (extras() if rng.random() < 0.4 else "") + (comments() if rng.random() < 0.45 else "") + after
+        page = nested(before) + (nested(extras()) if rng.random() < 0.6 else "") + wrap.format(inner)
+        page += (nested(extras()) if rng.random() < 0.4 else "") + (nested(comments()) if rng.random() < 0.45 else "") + nested(after)
         yield f"<html><head><title>{words(2, 5)}</title></head><body>{page}</body></html>"
     for _ in range(count // 8):  # prose without any container
         yield f'<html><body data-y=1>{"".join(paragraph() for _ in range(rng.randint(2, 8)))}</body></html>'
@@ -416,7 +453,7 @@ def train(pages: Iterator[str] | None = None, *, rounds: int = 250, step: float
     """Weights of the features and log potentials of the edge kinds, by gradient ascent on the
     conditional log likelihood of labelled pages."""
     read = [Page(p) for p in (pages if pages is not None else _labelled_pages())]
-    data = [(p.parent, [_KIND[t] for t in p.tag], p.features(), p.label) for p in read]
+    data = [(p.parent, p.kinds(), p.features(), p.label) for p in read]
     nodes = sum(len(d[0]) for d in data)
     w, v = np.zeros(N_FEATURES), np.zeros((N_KINDS, 4))
     gw2, gv2 = np.full(N_FEATURES, 1e-6), np.full((N_KINDS, 4), 1e-6)
@@ -441,7 +478,7 @@ def main_blocks(source: str, model: tuple[list[float], list[list[float]]]) -> li
     weights, pair = model
     page = Page(source)
     unary = [sum([weights[k] for k in f]) for f in page.features()]
-    one, _ = marginals(page.parent, [_KIND[t] for t in page.tag], unary, pair)
+    one, _ = marginals(page.parent, page.kinds(), unary, pair)
     return [block for node, block in page.blocks if one[node] >= 0.5]
 
 
@@ -449,7 +486,7 @@ def extract(
     pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", model: tuple | None = None
 ) -> DataFrame:
     """``page_id, url, text, n_blocks`` for every page; the model is a few hundred numbers."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or train())
+    shared = pages.sparkSession.sparkContext.broadcast(model or MODEL)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -466,3 +503,12 @@ def extract(
     slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     kind = slim.schema["page_id"].dataType.simpleString()
     return slim.mapInArrow(read, f"page_id {kind}, url string, text string, n_blocks int")
+
+
+def write_weights(path: str) -> None:
+    """Train and write the module that keeps the weights."""
+    weights, pair = train()
+    lines = ['"""Weights of the tree model of html_extract, as its train() gives them: features, then edges by kind (00, 01, 10, 11)."""', "", "MODEL = ("]
+    rows = ["    [", *(f"        {x!r}," for x in weights), "    ],", "    [", *(f"        {[float(x) for x in p]!r}," for p in pair), "    ],"]
+    with open(path, "w") as f:
+        f.write("\n".join([*lines, *rows, ")"]) + "\n")
