@@ -105,9 +105,9 @@ def neighbourhood(events: DataFrame, components: DataFrame, equals: DataFrame, i
     """Ids linked to the given ones by changes or equality, at any distance: the part of the graph that
     a traversal can touch. Each round is a join of the newest ids only; edges go both ways, so what these
     reach is new unless it came in this round or the one before."""
-    from .relations import _checkpointer
+    from .relations import checkpointer
 
-    keep = _checkpointer(events.sparkSession)
+    keep = checkpointer(events.sparkSession)
     own = events.where(F.col("event_type").isin("SPLIT", "MERGED")).select(F.col("object_id").alias("s"), "event_id")
     star = own.join(components.select("event_id", F.col("object_id").alias("p")), "event_id").select("s", "p")
     near = star.unionByName(star.select(F.col("p").alias("s"), F.col("s").alias("p")))

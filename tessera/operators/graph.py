@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relations import _checkpointer
+from .relations import checkpointer
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def spatial_graph(
 def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 1) -> DataFrame:
     """``node, hops``: what a breadth-first search from all rows of ``start`` (node) finds within
     max_hops. Each round joins only the nodes found last and is checkpointed."""
-    keep = _checkpointer(edges.sparkSession)
+    keep = checkpointer(edges.sparkSession)
     both = edges.select("from", "to").unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct()
     seen = keep(start.select("node").distinct().withColumn("hops", F.lit(0)))
     front = seen
@@ -58,7 +58,7 @@ def neighbourhood(edges: DataFrame, start: DataFrame, max_hops: int = 1) -> Data
 def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Minimum spanning forest by Boruvka's rounds: each component takes its lightest outgoing edge
     (ties by ends), then components merge. Components at least halve in every round."""
-    keep = _checkpointer(edges.sparkSession)
+    keep = checkpointer(edges.sparkSession)
     edges = keep(undirected(edges))
     label = keep(edges.select(F.col("from").alias("node")).unionByName(edges.select(F.col("to").alias("node"))).distinct().withColumn("part", F.col("node")))
     chosen = None

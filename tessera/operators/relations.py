@@ -129,7 +129,7 @@ def closure(relations: DataFrame, rules: Rules | None = None, max_rounds: int =
     of each round are checkpointed, so the plan stays short and a lost executor costs a round."""
     rules = rules or Rules()
     spark = relations.sparkSession
-    keep = _checkpointer(spark)
+    keep = checkpointer(spark)
     every = keep(relations.select("subject", "relation", "object").distinct())
     new = every
     for _ in range(max_rounds):
@@ -148,11 +148,16 @@ def closure(relations: DataFrame, rules: Rules | None = None, max_rounds: int =
     raise RuntimeError("the rules did not reach a fixpoint")
 
 
-def _checkpointer(spark):
+def checkpointer(spark):
+    """A function that writes a DataFrame to the folder that ``spark.checkpoint.dir`` names and cuts its lineage.
+    Only in local mode, where there is one machine, a temporary folder may stand for it."""
     import tempfile
 
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-"))
     return lambda df: df.checkpoint(eager=True)
 
 
@@ -202,17 +207,25 @@ def related_objects(relations: DataFrame, facts: DataFrame, relation: str, valid
     return relations.where(F.col("relation") == relation).join(state, "object").select("subject", "object", "value")
 
 
-def contributes_to(facts: DataFrame, property_: str) -> DataFrame:
-    """Edges to every individual with the same literal, oneself included."""
-    own = facts.where(F.col("property") == property_).select("object_id", "value").distinct()
-    other = own.select(F.col("object_id").alias("object"), "value")
+def contributes_to(facts: DataFrame, property_: str, ids: DataFrame | None = None) -> DataFrame:
+    """Edges of the given individuals to every one with the same literal, oneself included. Without ids it is
+    all of them, and a literal that many share gives as many edges as it has pairs."""
+    from .objects import only
+
+    every = facts.where(F.col("property") == property_).select("object_id", "value").distinct()
+    own = only(every, "object_id", ids)
+    other = every.select(F.col("object_id").alias("object"), "value")
     return own.join(other, "value").select(F.col("object_id").alias("subject"), F.lit("CONTRIBUTES_TO").alias("relation"), "object")
 
 
-def concept_relations(members: DataFrame, classes: DataFrame, strength: float) -> DataFrame:
-    """Individuals of one class that share a concept with at least the given strength."""
-    own = members.where(F.col("strength") >= strength).select("collection_id", "object_id").join(classes, "object_id")
-    other = own.select("collection_id", "class", F.col("object_id").alias("object"))
+def concept_relations(members: DataFrame, classes: DataFrame, strength: float, ids: DataFrame | None = None) -> DataFrame:
+    """Individuals of one class that share a concept with at least the given strength: the partners of the
+    given ones, or all pairs."""
+    from .objects import only
+
+    every = members.where(F.col("strength") >= strength).select("collection_id", "object_id").join(classes, "object_id")
+    own = only(every, "object_id", ids)
+    other = every.select("collection_id", "class", F.col("object_id").alias("object"))
     pairs = own.join(other, ["collection_id", "class"]).where(F.col("object_id") != F.col("object"))
     return pairs.select(F.col("object_id").alias("subject"), "object").distinct()
 

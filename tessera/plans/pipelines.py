@@ -129,7 +129,7 @@ def regionalize(relations: DataFrame, nodes: DataFrame, value: str, regions: int
     forest = graph.spanning_forest(edges)
     cut = forest.orderBy(F.desc("weight"), "from", "to").limit(max(regions - 1, 0))
     left = forest.join(cut, ["from", "to"], "left_anti").select("from", "to")
-    keep = graph._checkpointer(nodes.sparkSession)
+    keep = graph.checkpointer(nodes.sparkSession)
     labels = graph.component_labels(left, keep) if not left.isEmpty() else None
     ids = nodes.select(F.col("object_id").alias("node"))
     if labels is None:

@@ -130,8 +130,10 @@ class Tessera:
 
         shaped = udfs.with_envelope(self.shapes(name, None, valid), "wkt")
         report = spatio_temporal_relations(shaped.select("object_id", "xmin", "ymin", "xmax", "ymax", "exists_from", "exists_to"), buffer, threshold)
-        self.store.write("relations", relations.add_edges(self.relations, relations.report_edges(report)))
-        self.store.write("overlaps", relations.add_overlaps(self.overlaps, report))
+        step = self.store.step()
+        step.stage("relations", relations.add_edges(self.relations, relations.report_edges(report)))
+        step.stage("overlaps", relations.add_overlaps(self.overlaps, report))
+        step.publish()
 
     def union_of_ids(self, name: str, ids: Sequence[str], t, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
         """The best split or merge among objects, and what each contributes to their union."""
@@ -160,21 +162,26 @@ class Tessera:
         again = parts["facts"].join(known, "object_id", "left_semi")
         own, facts = merge.merge(self.objects, self.facts, again, at, strategy=self.strategy, existence=self.existence)
         events = parts["events"].join(known, "object_id", "left_anti")
-        self.store.write("facts", facts.unionByName(new_facts))
-        self.store.write("events", relations.adjust_events(self.events.unionByName(events), own.unionByName(fresh)))
-        self.store.write("objects", own.unionByName(fresh))
+        step = self.store.step()
+        stored = step.stage("facts", facts.unionByName(new_facts))
+        lives = step.stage("objects", own.unionByName(fresh))
+        step.stage("events", relations.adjust_events(self.events.unionByName(events), lives))
         linked = [f.property for f in schema.facts if f.related]
         edges = parts.get("relations", self.relations.limit(0))
         for p in linked:
-            edges = edges.unionByName(relations.contributes_to(self.facts, p))
+            shared = relations.contributes_to(stored, p, parts["objects"].select("object_id"))
+            edges = edges.unionByName(shared).unionByName(shared.select(F.col("object").alias("subject"), "relation", F.col("subject").alias("object")))
         if "relations" in parts or linked:
-            self.store.write("relations", relations.add_edges(self.relations, edges))
-        self.store.write("datasets", self.datasets.unionByName(self.spark.createDataFrame([(name, "Dataset")], "class string, parent string")).distinct())
+            step.stage("relations", relations.add_edges(self.relations, edges))
+        step.stage("datasets", self.datasets.unionByName(self.spark.createDataFrame([(name, "Dataset")], "class string, parent string")).distinct())
+        step.publish()
 
     def add_facts(self, incoming: DataFrame, datatypes: dict[str, str], database=None) -> None:
         own, facts = merge.add_facts(self.objects, self.facts, incoming, datatypes, _time(database), strategy=self.strategy, existence=self.existence)
-        self.store.write("facts", facts)
-        self.store.write("objects", own)
+        step = self.store.step()
+        step.stage("facts", facts)
+        step.stage("objects", own)
+        step.publish()
 
     def relate(self, edges: DataFrame) -> None:
         self.store.write("relations", relations.add_edges(self.relations, edges))
@@ -184,9 +191,11 @@ class Tessera:
         if not relations.undated_changes(self.objects, changes).isEmpty():
             raise ValueError("a split's subject has no end")
         events, parts, edges = relations.split_merge_events(self.objects, changes)
-        self.store.write("events", self.events.unionByName(events).dropDuplicates(["event_id"]))
-        self.store.write("event_components", self.event_components.unionByName(parts).distinct())
-        self.store.write("relations", relations.add_edges(self.relations, edges))
+        step = self.store.step()
+        step.stage("events", self.events.unionByName(events).dropDuplicates(["event_id"]))
+        step.stage("event_components", self.event_components.unionByName(parts).distinct())
+        step.stage("relations", relations.add_edges(self.relations, edges))
+        step.publish()
 
     def infer(self, rules: relations.Rules | None = None) -> None:
         self.store.write("relations", relations.closure(self.relations, rules))
@@ -194,8 +203,10 @@ class Tessera:
     def remove(self, ids: DataFrame) -> None:
         names = ("objects", "facts", "events", "event_components", "relations", "overlaps", "collection_members")
         left = objects.remove({n: self.store.read(n) for n in names}, ids)
+        step = self.store.step()
         for n in names:
-            self.store.write(n, left[n])
+            step.stage(n, left[n])
+        step.publish()
 
     def add_to_collection(self, new: DataFrame) -> None:
         self.store.write("collection_members", collections.add(self.collection_members, new))

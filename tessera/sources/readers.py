@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,39 +14,80 @@ from pyspark.sql import types as T
 from ..schema import TABLES, empty
 
 
+class WriteConflict(RuntimeError):
+    """Someone else published a version since this step read the tables."""
+
+
 class Store:
-    """The stored tables below one folder, one Parquet directory each; a table that isn't there is empty.
+    """The stored tables below one folder; a table that isn't there is empty.
 
-    Writing makes a new version beside the old and then switches a small pointer table, so readers
-    of the old version are not disturbed."""
+    A write makes a new folder beside the old ones. What is current is said by small files in
+    ``_versions``, one for each step, which are created once and never changed: the newest whole one
+    counts. So a step shows all its tables at once or none, a crash leaves the version before it, readers of
+    old versions are not disturbed, and of two writers that began alike one gets WriteConflict."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
+    def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _steps(self) -> list[str]:
+        """Names of the version files, newest first."""
+        fs, at = self._fs(f"{self.path}/_versions")
+        return sorted((f.getPath().getName() for f in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
+
+    def _read_step(self, name: str) -> dict | None:
+        fs, at = self._fs(f"{self.path}/_versions/{name}")
+        file = fs.open(at)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+        except ValueError:  # its writer died in between
+            return None
+        finally:
+            file.close()
+
+    def _newest(self) -> tuple[int, dict]:
+        """The number of the newest step, whole or not, and what the newest whole one says."""
+        steps = self._steps()
+        found = next((x for x in map(self._read_step, steps) if x is not None), None)
+        return int(steps[0]) if steps else 0, found or {"tables": {}, "marks": {}}
 
     def version(self, table: str) -> int:
-        at = f"{self.path}/{table}/_current"
-        return int(self.spark.read.text(at).first()[0]) if self._exists(at) else 0
+        return self._newest()[1]["tables"].get(table, [0])[0]
+
+    def mark(self, name: str):
+        """What a step noted under a name, or None."""
+        return self._newest()[1]["marks"].get(name)
+
+    def _load(self, table: str, folder: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{folder}")
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        v = self.version(table) if version is None else version
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/v{v}") if v else empty(self.spark, table)
+        steps = [self._newest()[1]] if version is None else filter(None, map(self._read_step, self._steps()))
+        for step in steps:
+            v, folder = step["tables"].get(table, (0, ""))
+            if v and version in (None, v):
+                return self._load(table, folder)
+        return empty(self.spark, table)
+
+    def step(self) -> Step:
+        return Step(self)
 
     def write(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        v = self.version(table) + 1
-        writer = df.select(*TABLES[table].names).write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{table}/v{v}")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{table}/_current")
-        return v
+        step = self.step()
+        step.stage(table, df, partition_by)
+        step.publish()
+        return step.tables[table][0]
 
     def initialize(self) -> None:
         """Empty tables: everything stored before stays in its old versions only."""
+        step = self.step()
         for name in TABLES:
-            self.write(name, empty(self.spark, name))
+            step.stage(name, empty(self.spark, name))
+        step.publish()
 
     def register_views(self) -> None:
         """All tables as temporary views, for plain SQL."""
@@ -51,6 +95,35 @@ class Store:
             self.read(name).createOrReplaceTempView(name)
 
 
+class Step:
+    """New versions of some tables that become current together."""
+
+    def __init__(self, store: Store) -> None:
+        self.store = store
+        self.number, before = store._newest()
+        self.tables, self.marks = dict(before["tables"]), dict(before["marks"])
+
+    def stage(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        """Write a table's next version, which nobody sees yet; gives it back as read."""
+        v = self.tables.get(table, [0])[0] + 1
+        folder = f"{table}/v{v}-{uuid.uuid4().hex[:8]}"
+        writer = df.select(*TABLES[table].names).write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.store.path}/{folder}")
+        self.tables[table] = [v, folder]
+        return self.store._load(table, folder)
+
+    def publish(self, **marks) -> None:
+        fs, at = self.store._fs(f"{self.store.path}/_versions/{self.number + 1:012d}")
+        if fs.exists(at):
+            raise WriteConflict(f"{at} is there already")
+        try:
+            file = fs.create(at, False)  # fails if it exists
+        except Py4JJavaError as e:
+            raise WriteConflict(str(at)) from e
+        file.write(json.dumps({"tables": self.tables, "marks": self.marks | marks}).encode())
+        file.close()
+
+
 def delimited(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ";", header: bool = False) -> DataFrame:
     return spark.read.schema(schema).option("sep", sep).option("header", header).option("quote", '"').option("mode", "PERMISSIVE").csv(path)
 

@@ -205,3 +205,45 @@ def test_lines(spark, tmp_path):
     assert spark.read.text(f"file://{tmp_path}/s").first().value == "c:n:5-n:2000-01-01:2001-01-01"
     sinks.write_csv(rows, f"file://{tmp_path}/c")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/c").count() == 1
+
+
+def test_versions_are_atomic(spark, tmp_path):
+    """A step that dies shows nothing; a half-written version file is passed over; writers that began alike conflict."""
+    store = readers.Store(spark, f"file://{tmp_path}/s")
+    edge = lambda s: spark.createDataFrame([(s, "CONTAINS", "x")], TABLES["relations"])
+    subjects = lambda v=None: {r.subject for r in store.read("relations", v).collect()}
+    assert store.write("relations", edge("a")) == 1 and store.write("relations", edge("b")) == 2
+    died = store.step()
+    died.stage("relations", edge("c"))
+    died.stage("datasets", spark.createDataFrame([("c", "Dataset")], TABLES["datasets"]))
+    assert subjects() == {"b"} and store.version("relations") == 2 and store.read("datasets").count() == 0
+    (tmp_path / "s" / "_versions" / f"{3:012d}").write_text('{"tables": {"rela')
+    assert subjects() == {"b"} and subjects(1) == {"a"}
+    one, two = store.step(), store.step()
+    for step, s in ((one, "d"), (two, "e")):
+        step.stage("relations", edge(s))
+    one.publish(batch=7)
+    with pytest.raises(readers.WriteConflict):
+        two.publish()
+    assert subjects() == {"d"} and store.version("relations") == 3 and store.mark("batch") == 7
+    # without its newest file the store still reads what was before
+    (tmp_path / "s" / "_versions" / f"{4:012d}").unlink()
+    assert subjects() == {"b"}
+
+
+def test_a_batch_that_dies_is_replayed(spark, tmp_path, monkeypatch):
+    fact = ("a", "p", "1", "xsd:string", None, datetime(2000, 1, 1), None, None, None, None)
+    spark.createDataFrame([fact], TABLES["facts"]).write.parquet(f"{tmp_path}/in")
+    store = readers.Store(spark, f"file://{tmp_path}/store")
+    run = lambda: ingest(spark.readStream.schema(TABLES["facts"]).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/ck", database=F.lit("2000-02-01").cast("timestamp_ntz")).awaitTermination(120)
+
+    def dies(self, **marks):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(readers.Step, "publish", dies)
+        with pytest.raises(Exception, match="gone"):
+            run()
+    assert store.read("facts").count() == 0 and store.version("facts") == 0
+    run()
+    assert store.read("facts").count() == 1 and store.version("facts") == 1
