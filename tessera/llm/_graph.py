@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 from ._common import Scratch
 
 
+SALTS = 32
+
+
+def with_least(rows: DataFrame, key: str, value: str, rows_at_least: int = 1) -> DataFrame:
+    """Rows of keys that have at least so many, with ``m``, the least ``value`` of their key.
+
+    Keys are reduced before the shuffle, to the least and a bit for each of SALTS parts in which a row's
+    value falls; a key's least then goes back to those parts only, at most once for each row, so a hub's
+    rows are dealt over as many tasks."""
+    salt = F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")
+    parts = rows.select(F.col(key).alias("_k"), F.col(value).alias("_v"), salt.alias("_s"))
+    whole = parts.groupBy("_k").agg(F.min("_v").alias("m"), F.count(F.lit(1)).alias("_c"), F.bit_or(F.expr("shiftleft(1L, _s)")).alias("_bits"))
+    whole = whole.where(F.col("_c") >= rows_at_least).select("_k", "m", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> getbit(_bits, i) = 1)")).alias("_t"))
+    return rows.join(whole, (F.col(key) == F.col("_k")) & (salt == F.col("_t"))).drop("_k", "_t")
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
-    """``u, v`` and ``m``: the least of u and all its neighbours. The least is found by a
-    pre-aggregated group and joined back, so a hub's edges may be split over tasks."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return edges.join(least, edges.u == least["_u"]).drop("_u")
+    """``u, v`` and ``m``: the least of u and all its neighbours."""
+    return with_least(edges, "u", "v").select("u", "v", F.least("u", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes
 from ._common import BROADCAST_ROWS, Scratch, broadcast_if_small, one_of_each, text_key
-from ._graph import components
+from ._graph import components, with_least
 
 
 def _distinct(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +118,7 @@ def _minima(sets, starts, mul, add, bands, rows, keys, full, step: int = 1 << 15
 
 
 def _packer(width: int):
-    """mapInArrow: ``pc, i, j, cls, text`` to the same with the packed set for the text."""
+    """mapInArrow: ``pc, ks, cls, text`` to the same with the packed set for the text."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +128,7 @@ def _packer(width: int):
                 blob = pa.Array.from_buffers(
                     pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(sets.tobytes())]
                 ).cast(pa.binary())
-                yield pa.record_batch([rows.column("pc"), rows.column("k"), rows.column("cls"), blob], names=["pc", "k", "cls", "blob"])
+                yield pa.record_batch([rows.column("pc"), rows.column("ks"), rows.column("cls"), blob], names=["pc", "ks", "cls", "blob"])
             _bytes.trim()
 
     return pack
@@ -220,8 +220,7 @@ def near_duplicates(
     )
 
     keyed = classes.select("cls", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    ties = keyed.join(buckets, "key").select(F.col("cls").alias("u"), F.col("lead").alias("v"))
+    ties = with_least(keyed, "key", "cls", 2).where(F.col("cls") != F.col("m")).select(F.col("cls").alias("u"), F.col("m").alias("v"))
     candidates = components(ties, scratch, "ties").select(F.col("node").alias("cls"), F.col("component").alias("pc"))
     candidates = scratch.keep(candidates.join(classes.select("cls", "n"), "cls"), "candidates")
 
@@ -238,20 +237,21 @@ def near_duplicates(
     )
     many = many.select("pc", "cls", pairs.alias("ks"))  # ``cut`` pairs for each member
     many = broadcast_if_small(many, broadcast_rows, 4 * F.size("ks"))
-    sets = docs.join(many, F.col("doc") == F.col("cls")).withColumn("k", F.explode("ks"))
-    packed = sets.select("pc", "k", "cls", "text").mapInArrow(_packer(width), "pc long, k int, cls long, blob binary")
-    links = packed.repartition("pc", "k").sortWithinPartitions("pc", "k").mapInArrow(_linker(percent), "u long, v long")
+    sets = docs.join(many, F.col("doc") == F.col("cls")).select("pc", "ks", "cls", "text")
+    packed = sets.mapInArrow(_packer(width), "pc long, ks array<int>, cls long, blob binary")
+    links = packed.select("pc", F.explode("ks").alias("k"), "cls", "blob")  # packed once, then copied
+    links = links.repartition("pc", "k").sortWithinPartitions("pc", "k").mapInArrow(_linker(percent), "u long, v long")
     groups = components(links, scratch, "links").select(F.col("node").alias("cls"), F.col("component"))
     labelled = (
         classes.select("h1", "h2", "n", "members", "cls")
         .join(groups, "cls", "left")
         .select("h1", "h2", "n", "members", "cls", F.coalesce("component", "cls").alias("component"))
         .where((F.col("members") > 1) | (F.col("component") != F.col("cls")))
-        .drop("members", "cls")
+        .drop("cls")
     )
+    labelled = scratch.keep(labelled, "labelled")
     return (
-        signed.drop("bands")
-        .join(labelled, ["h1", "h2", "n"], "left")
+        _labelled(signed.drop("bands"), labelled, broadcast_rows)
         .select(
             F.col("doc").alias(doc_id),
             F.col("n").alias("n_shingles"),
@@ -261,6 +261,19 @@ def near_duplicates(
     )
 
 
+def _labelled(signed: DataFrame, labelled: DataFrame, broadcast_rows: int, hot: int = 100_000) -> DataFrame:
+    """Rows with their class's ``component``. Classes are broadcast if they are few; otherwise only those of
+    more than ``hot`` members are (a row in ``hot`` at most), and rows found there are dealt by their id in
+    the shuffled join that follows, where they need nothing more."""
+    on = ["h1", "h2", "n"]
+    if labelled.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return signed.join(F.broadcast(labelled.drop("members")), on, "left")
+    large = labelled.where(F.col("members") > hot).select(*on, F.col("component").alias("_hot"))
+    marked = signed.join(broadcast_if_small(large, broadcast_rows), on, "left").withColumnRenamed("h1", "_h1")
+    marked = marked.withColumn("h1", F.when(F.col("_hot").isNull(), F.col("_h1")).otherwise(F.xxhash64("doc")))
+    return marked.join(labelled.drop("members"), on, "left").withColumn("component", F.coalesce("_hot", "component"))
+
+
 def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """One document of each group, with all columns: the one whose id is the group's.
 
@@ -270,7 +283,8 @@ def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     ids = documents.select(F.col(doc_id).cast("long").alias("_d"))
     if not ids.groupBy("_d").count().where("`count` > 1 or _d is null").isEmpty():
         return _drop_numbered(documents, doc_id, text, options)
-    gone = near_duplicates(documents, **options).where(~F.col("kept")).select(F.col(doc_id).alias("_gone")).distinct()
+    gone = near_duplicates(documents, **options).where(~F.col("kept")).select(F.col(doc_id).alias("_gone"))
+    gone = broadcast_if_small(Scratch(documents.sparkSession, "near-gone").keep(gone, "gone"), options.get("broadcast_rows", BROADCAST_ROWS))
     return documents.join(gone, documents[doc_id].cast("long") == F.col("_gone"), "left_anti")
 
 
