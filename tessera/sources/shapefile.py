@@ -120,7 +120,8 @@ def _record(shape: g.Shape) -> tuple[int, bytes]:
 
 
 def shapefile_zip(rows: list[dict], object_id: str, wkt: str, name: str = "export") -> bytes:
-    """.shp, .shx, .dbf and .prj of the rows: an export that a person opens, built on the driver."""
+    """.shp, .shx, .dbf and .prj of the rows: an export that a person opens, built on the driver. What the format
+    can't hold (values over 254 bytes, names over 10 characters or equal ones) raises an error."""
     shapes = [g.parse(r[wkt]) for r in rows]
     records = [_record(s) for s in shapes]
     kinds = {k for k, _ in records}
@@ -138,11 +139,16 @@ def shapefile_zip(rows: list[dict], object_id: str, wkt: str, name: str = "expor
         shx += struct.pack(">2i", at // 2, len(body) // 2)
         at += 8 + len(body)
     fields = [c for c in (rows[0] if rows else {object_id: None}) if c != wkt]
-    text = [[("" if r[c] is None else str(r[c])).encode()[:254] for c in fields] for r in rows]
+    text = [[("" if r[c] is None else str(r[c])).encode() for c in fields] for r in rows]
+    if long := {c for t in text for c, v in zip(fields, t, strict=True) if len(v) > 254}:
+        raise g.GeometryError(f"a shapefile holds 254 bytes of a value: {', '.join(sorted(long))}")
+    names = [re.sub(r"\W", "_", c, flags=re.A) for c in fields]
+    if any(len(n) > 10 for n in names) or len(set(names)) < len(names):
+        raise g.GeometryError(f"a shapefile's attributes have names of at most 10 letters, digits or _, all different: {', '.join(fields)}")
     widths = [max([1, *(len(t[k]) for t in text)]) for k in range(len(fields))]
     dbf = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 33 + 32 * len(fields), 1 + sum(widths))
-    for c, w in zip(fields, widths, strict=True):
-        dbf += struct.pack("<11sc4xBB14x", re.sub(r"\W", "_", c)[:10].encode(), b"C", w, 0)
+    for c, w in zip(names, widths, strict=True):
+        dbf += struct.pack("<11sc4xBB14x", c.encode(), b"C", w, 0)
     dbf += b"\r" + b"".join(b" " + b"".join(v.ljust(w) for v, w in zip(t, widths, strict=True)) for t in text) + b"\x1a"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

@@ -34,8 +34,9 @@ def feature(object_id: Column, wkt: Column | None, properties: dict[str, Column]
     """A GeoJSON feature; nulls are left out of the properties."""
     own = F.to_json(F.struct(*[c.alias(k) for k, c in properties.items()])) if properties else F.lit("{}")
     shape = F.lit("") if wkt is None else F.concat(F.lit(',"geometry":'), F.coalesce(geometry(wkt), F.lit("null")))
-    quoted = F.substring(F.to_json(F.array(object_id.cast("string"))), 2, 1_000_000)
-    return F.concat(F.lit('{"type":"Feature","id":'), F.regexp_replace(quoted, r"\]$", ""), F.lit(',"properties":'), own, shape, F.lit("}"))
+    listed = F.to_json(F.array(object_id.cast("string")))
+    quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return F.concat(F.lit('{"type":"Feature","id":'), quoted, F.lit(',"properties":'), own, shape, F.lit("}"))
 
 
 def geojson_lines(df: DataFrame, object_id: str, wkt: str, properties: list[str]) -> DataFrame:
