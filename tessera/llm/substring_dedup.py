@@ -1,21 +1,24 @@
 """Substring dedup: every window of ``width`` consecutive words is hashed and counted.
 
-1. Documents are read in chunks. Rabin-Karp style rolling sums give the 64-bit hash of each
-   window; inside a chunk, in order of (id, start), only a hash's first window goes on and the
-   others are marked. The hashes of a chunk are sorted, cut into buckets of the hash space and
-   shuffled as packed arrays (differences of sorted hashes and window numbers, about 9 bytes a
-   window), so a passage that a third of all documents share is one entry for each chunk.
+1. Documents are read in chunks. Rabin-Karp style rolling sums give two hashes of each window,
+   80 bits together; inside a chunk, in order of (id, start), only a hash's first window goes on
+   and the others are marked. The hashes of a chunk are sorted, cut into buckets of the hash space
+   and shuffled as packed arrays (differences of sorted hashes, the second hash and window numbers,
+   about 11 bytes a window), so a passage that a third of all documents share is one entry for each
+   chunk.
 2. Each bucket, which holds about ``bucket_windows`` entries at any input size, finds hashes
-   seen by several chunks and marks all but the earliest window.
+   seen by several chunks and marks all but the earliest window. The number of tasks follows the
+   input: ``task_bytes`` of text for each.
 3. The marks go back to their chunk, where windows that touch or overlap merge into maximal
    removal intervals for each document; these are joined to the texts.
 
 Defined results: null and empty texts and texts of fewer than ``width`` words lose nothing;
 documents without an id come after all others; rows that repeat both id and text (also
 without an id) are hashed once, as one document, and all get its result; an empty table
-gives no rows. Other columns are not
-read. Windows are compared by 64-bit hash. The input has to be a table in files, or another
-one whose partitions come back with the same rows in the same order.
+gives no rows. Other columns are not read. Windows are compared by 80 bits: among the 3e13 windows
+of 100 TB some hundred pairs of different ones are expected to agree. A task that is run again must
+find the same rows in the same order, as it does in a table in files; ``store=True`` writes any other
+input to such a table first.
 """
 
 from __future__ import annotations
@@ -50,27 +53,49 @@ def _widen(blob: memoryview, n: int) -> tuple[np.ndarray, int]:
     return out.reshape(-1).view("<u8").astype(np.uint64), 1 + n * width
 
 
-def _pack(hashes: np.ndarray, index: np.ndarray, doc_first: np.ndarray, doc_ids: np.ndarray) -> bytes:
-    """A bucket of a chunk: sorted hashes, window numbers and the documents they lie in."""
+def _pack(hashes: np.ndarray, seconds: np.ndarray, index: np.ndarray, doc_first: np.ndarray, doc_ids: np.ndarray) -> bytes:
+    """A bucket of a chunk: sorted hashes, second hashes, window numbers and the documents they lie in."""
     used = np.unique(np.searchsorted(doc_first, index, side="right") - 1)
     first, ids = doc_first[used], doc_ids[used]
     docs = zlib.compress(np.diff(first, prepend=0).astype("<u4").tobytes() + np.diff(ids, prepend=0).astype("<i8").tobytes(), 1)
     head = np.array([len(hashes), len(used), len(docs)], dtype="<u4").tobytes()
-    return head + docs + _narrow(np.diff(hashes, prepend=np.uint64(0))) + _narrow(index)
+    return head + docs + _narrow(np.diff(hashes, prepend=np.uint64(0))) + _narrow(index) + seconds.astype("<u2").tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, window numbers, document ids and starts."""
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, second hashes, window numbers, document ids and starts."""
     n, k, size = np.frombuffer(blob, "<u4", 3).tolist()
     raw = zlib.decompress(blob[12 : 12 + size])
     first = np.cumsum(np.frombuffer(raw, "<u4", k).astype(np.int64))
     ids = np.cumsum(np.frombuffer(raw, "<i8", k, 4 * k))
     rest = memoryview(blob)[12 + size :]
     gaps, at = _widen(rest, n)
-    index, _ = _widen(rest[at:], n)
+    index, end = _widen(rest[at:], n)
+    seconds = np.frombuffer(rest, "<u2", n, at + end)
     index = index.astype(np.int64)
     doc = np.searchsorted(first, index, side="right") - 1
-    return np.cumsum(gaps), index, ids[doc], index - first[doc]
+    return np.cumsum(gaps), seconds, index, ids[doc], index - first[doc]
+
+
+def _two_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64 and 16 bits of every window, from the words' hashes in two different guises; windows of each text."""
+    hashes, n = _bytes.runs(words, counts, width)
+    seconds, _ = _bytes.runs(_bytes.mix64(words ^ np.uint64(0xA4093822299F31D0)), counts, width)
+    return hashes, (seconds >> np.uint64(48)).astype(np.uint16), n
+
+
+def _sorted_by_both(hashes: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """A stable order by both hashes; the second only counts where first ones agree, which is rare."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    tied = np.zeros(len(order), dtype=bool)
+    tied[1:] |= same
+    tied[:-1] |= same
+    at = np.flatnonzero(tied)
+    if len(at):
+        few = order[at]
+        order[at] = few[np.lexsort((few, seconds[few], hashes[few]))]
+    return order
 
 
 _SENT = "chunk long, bucket long, blob binary"
@@ -93,29 +118,31 @@ def _hasher(width: int, buckets: int, chunk_windows: int):
 
         def flush() -> pa.RecordBatch:
             ids, tks = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            counts, hashes = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+            counts, hashes, seconds = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
             order = np.lexsort((tks, ids))
             starts = np.cumsum(counts) - counts
             total = int(counts.sum())
             new_counts = counts[order]
             new_first = np.cumsum(new_counts) - new_counts
-            hashes = hashes[np.arange(total) - np.repeat(new_first, new_counts) + np.repeat(starts[order], new_counts)]
+            moved = np.arange(total) - np.repeat(new_first, new_counts) + np.repeat(starts[order], new_counts)
+            hashes, seconds = hashes[moved], seconds[moved]
+            del moved
             ids, tks = ids[order], tks[order]
-            by_hash = np.argsort(hashes, kind="stable")
-            hashes = hashes[by_hash]
+            by_hash = _sorted_by_both(hashes, seconds)
+            hashes, seconds = hashes[by_hash], seconds[by_hash]
             new = np.ones(total, dtype=bool)
-            new[1:] = hashes[1:] != hashes[:-1]
+            new[1:] = (hashes[1:] != hashes[:-1]) | (seconds[1:] != seconds[:-1])
             doc_list = np.concatenate([ids, tks, new_counts]).astype("<i8").tobytes()
             rows = [(-2 * number - 1, zlib.compress(doc_list, 1))]
             if not new.all():
                 repeats = np.sort(by_hash[~new])
                 rows.append((-2 * number - 2, np.diff(repeats, prepend=0).astype("<u4").tobytes()))
-            hashes, by_hash = hashes[new], by_hash[new]
+            hashes, seconds, by_hash = hashes[new], seconds[new], by_hash[new]
             owner = hashes >> shift if buckets > 1 else np.zeros(len(hashes), np.uint64)
             cut = np.flatnonzero(np.diff(owner, prepend=owner[0])) if len(owner) else []
             edges = [0, *np.asarray(cut).tolist(), len(hashes)]
             rows += [
-                (int(owner[i]), _pack(hashes[i:j], by_hash[i:j], new_first, ids)) for i, j in zip(edges, edges[1:], strict=False) if j > i
+                (int(owner[i]), _pack(hashes[i:j], seconds[i:j], by_hash[i:j], new_first, ids)) for i, j in zip(edges, edges[1:], strict=False) if j > i
             ]
             return _batch([number] * len(rows), [r[0] for r in rows], [r[1] for r in rows])
 
@@ -126,14 +153,14 @@ def _hasher(width: int, buckets: int, chunk_windows: int):
             for i, j in _bytes.blocks(offsets):
                 lo, hi = offsets[i], offsets[j]
                 words, counts, _, _ = _bytes.words(raw[lo:hi], offsets[i : j + 1] - lo)
-                hashes, n = _bytes.runs(words, counts, width)
+                hashes, seconds, n = _two_hashes(words, counts, width)
                 some = n > 0
                 if not some.any():
                     continue
                 if held and n_held + len(hashes) > chunk_windows:
                     yield flush()
                     held, n_held, number = [], 0, number + 1
-                held.append((ids[i:j][some], tks[i:j][some], n[some], hashes))
+                held.append((ids[i:j][some], tks[i:j][some], n[some], hashes, seconds))
                 n_held += len(hashes)
             del batch, raw, offsets
             _bytes.trim()
@@ -152,23 +179,23 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         parts = [_unpack(blob) for _, blob in held]
         chunk = np.repeat(np.arange(len(held), dtype=np.int32), [len(p[0]) for p in parts])
-        hashes = np.concatenate([p[0] for p in parts])
+        hashes, seconds = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
-        same = hashes[1:] == hashes[:-1]
+        same = hashes[order[1:]] == hashes[order[:-1]]
         twice = np.zeros(len(hashes), dtype=bool)
         twice[1:] |= same
         twice[:-1] |= same
-        order, hashes = order[twice], hashes[twice]
+        order = order[twice]
         if not len(order):
             return
-        index, docs, starts = (np.concatenate([p[k] for p in parts])[order] for k in (1, 2, 3))
+        hashes, seconds = hashes[order], seconds[order]
+        index, docs, starts = (np.concatenate([p[k] for p in parts])[order] for k in (2, 3, 4))
         chunk = chunk[order]
         names = np.array([c for c, _ in held])
-        rank = np.lexsort((names[chunk], starts, docs, hashes))
-        hashes, chunk, index = hashes[rank], chunk[rank], index[rank]
+        rank = np.lexsort((names[chunk], starts, docs, seconds, hashes))
+        hashes, seconds, chunk, index = hashes[rank], seconds[rank], chunk[rank], index[rank]
         later = np.zeros(len(hashes), dtype=bool)
-        later[1:] = hashes[1:] == hashes[:-1]
+        later[1:] = (hashes[1:] == hashes[:-1]) & (seconds[1:] == seconds[:-1])
         chunk, index = chunk[later], index[later]
         rank = np.lexsort((index, chunk))
         chunk, index = chunk[rank], index[rank]
@@ -247,19 +274,23 @@ def removals(
     width: int = 20,
     chunk_windows: int = 1_500_000,
     bucket_windows: int = 1_000_000,
+    task_bytes: int = 32 << 20,
+    store: bool = False,
 ) -> DataFrame:
     """``doc, tk, n_removed, cuts`` of the documents that lose words; ``cuts`` packs pairs of
     64-bit word numbers (start, end). ``doc`` is NO_ID for documents without an id."""
     scratch = Scratch(documents.sparkSession, "substring")
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
     docs = documents.select(doc.alias("doc"), text_key(F.col(text)).alias("tk"), F.col(text).alias("text"))
+    docs = scratch.keep(docs, "documents") if store else docs
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << max(4, min(20, (total // 6 // bucket_windows).bit_length()))
+    buckets = 1 << max(4, (total // 6 // bucket_windows).bit_length())
+    tasks = max(16, -(-total // task_bytes))
     # a copy must not count as a repeat of its own document
     docs = one_of_each(docs, ["doc", "tk"], scratch, "copies")
     sent = docs.mapInArrow(_hasher(width, buckets, chunk_windows), _SENT)
-    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_finder, _SENT)
-    back = found.repartition("chunk").sortWithinPartitions("chunk")
+    found = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_finder, _SENT)
+    back = found.repartition(tasks, "chunk").sortWithinPartitions("chunk")
     cuts = back.mapInArrow(_merger(width), _CUTS)
     return scratch.keep(cuts, "cuts")
 
