@@ -118,6 +118,14 @@ def union_area(wkts: pd.Series) -> float:
     return g.union_area([g.exterior(g.parse(w)) for w in wkts if w is not None])
 
 
+@F.pandas_udf(_DOUBLE)
+def union_area_within(wkts: pd.Series, x: pd.Series, y: pd.Series, size: pd.Series) -> float:
+    """Aggregate: the part of that area that lies in the square with its lower left corner at x, y."""
+    x0, y0, x1, y1 = float(x.iloc[0]), float(y.iloc[0]), float(x.iloc[0] + size.iloc[0]), float(y.iloc[0] + size.iloc[0])
+    square = g.Shape("POLYGON", [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]])
+    return g.unions_common_area([square], [g.exterior(g.parse(w)) for w in set(wkts.dropna())])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals few, costly rows over all tasks; the adaptive planner would merge them by their bytes."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

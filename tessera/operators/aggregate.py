@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..geometry import udfs
 from ..schema import typed
+from . import spatial
 from .objects import COMPARISONS
 
 
@@ -37,14 +38,19 @@ def restricted(objects: DataFrame, facts: DataFrame, class_: str, where: Operati
     return ids
 
 
-def union_of(facts: DataFrame, ids: DataFrame, group: DataFrame | None = None) -> DataFrame:
-    """Area and envelope of the union of the objects' outer rings, by group (object_id, group_id) or
-    overall. One task holds a group's shapes: give groups for large datasets."""
+def union_of(facts: DataFrame, ids: DataFrame, group: DataFrame | None = None, cell: float | None = None) -> DataFrame:
+    """Area and envelope of the union of the objects' outer rings, by group (object_id, group_id) or overall.
+
+    Shapes are dealt over a grid; each task unites what lies in its cells, and the areas of the cells are added
+    up, so no task holds a group. ``cell``: length of a cell's side, by default four mean extents of the shapes."""
     shapes = facts.where(F.col("property") == "asWKT").join(ids, "object_id", "left_semi").select("object_id", "value")
     shapes = shapes.join(group, "object_id") if group is not None else shapes.withColumn("group_id", F.lit("all"))
     boxed = udfs.with_envelope(shapes, "value")
     bounds = boxed.groupBy("group_id").agg(
         F.countDistinct("object_id").alias("n"), *[f(c).alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))]
     )
-    areas = shapes.groupBy("group_id").agg(udfs.union_area(F.col("value")).alias("area"))
-    return areas.join(bounds, "group_id")
+    size = cell or spatial.cell_size(boxed)
+    dealt = boxed.select("group_id", "value", F.inline(spatial.cells(spatial.Box.of(), size)))
+    x, y = F.col("_cx") * F.lit(size), F.col("_cy") * F.lit(size)
+    parts = dealt.withColumns({"_x": x, "_y": y}).groupBy("group_id", "_cx", "_cy").agg(udfs.union_area_within(F.col("value"), F.col("_x"), F.col("_y"), F.lit(size)).alias("area"))
+    return parts.groupBy("group_id").agg(F.sum("area").alias("area")).join(bounds, "group_id")

@@ -55,14 +55,14 @@ def neighbourhood(edges: DataFrame, start: DataFrame, max_hops: int = 1) -> Data
     return edges.join(a, "from").join(b, "to").where(F.least("_a", "_b") < max_hops).select("from", "to", "weight")
 
 
-def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def spanning_forest(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest by Boruvka's rounds: each component takes its lightest outgoing edge
-    (ties by ends), then components merge. Components at least halve in every round."""
+    (ties by ends), then components merge, until no edge leads out of one. Components at least halve in every round."""
     keep = checkpointer(edges.sparkSession)
     edges = keep(undirected(edges))
     label = keep(edges.select(F.col("from").alias("node")).unionByName(edges.select(F.col("to").alias("node"))).distinct().withColumn("part", F.col("node")))
     chosen = None
-    for _ in range(max_rounds):
+    while True:
         a = label.select(F.col("node").alias("from"), F.col("part").alias("pa"))
         b = label.select(F.col("node").alias("to"), F.col("part").alias("pb"))
         crossing = edges.join(a, "from").join(b, "to").where(F.col("pa") != F.col("pb"))

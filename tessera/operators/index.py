@@ -29,9 +29,21 @@ def get(index: DataFrame, key: str, at: int) -> DataFrame:
     return index.where((F.col("key") == key) & holds(F.lit(at))).select("value")
 
 
-def lookup(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Values for many ``key, at`` at once: an equi-join on the key with the range as residual."""
-    return queries.join(index, "key").where(holds(F.col("at"))).select("key", "at", "value")
+def lookup(index: DataFrame, queries: DataFrame, width: int | None = None, most: int = 64) -> DataFrame:
+    """Values for many ``key, at`` at once: an equi-join on the key with the range as residual.
+
+    With ``width``, ranges of up to ``most`` times that length are joined by key and slice of time, so that a key
+    with very many versions is spread over tasks and compares neighbours only; longer ones by key alone."""
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        return left.join(right, on).where(holds(F.col("at"))).select("key", "at", "value")
+
+    if width is None:
+        return joined(queries, index, ["key"])
+    short = F.col("end") - F.col("start") <= most * width
+    slices = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
+    near = joined(queries.withColumn("_slice", F.floor(F.col("at") / width)), index.where(short).withColumn("_slice", slices), ["key", "_slice"])
+    return near.unionByName(joined(queries, index.where(~short), ["key"]))
 
 
 def delete(index: DataFrame, key: str, at: int) -> DataFrame:

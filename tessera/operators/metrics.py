@@ -30,9 +30,9 @@ def export(values: DataFrame, names: Sequence[str] | None = None, start: Column
     return window(values, names, start, end).orderBy("metric", "ts")
 
 
-def decompose(values: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Count, least, largest, mean, deviation and percentiles of each metric. With ``accuracy`` the
-    percentiles come from a sketch of bounded size; without, they are exact."""
+def decompose(values: DataFrame, accuracy: int | None = 10_000) -> DataFrame:
+    """Count, least, largest, mean, deviation and percentiles of each metric. The percentiles come from a sketch
+    of bounded size, with a rank error of 1 / accuracy; with None they are exact and hold every distinct value."""
     at = [("median", 0.5), ("p75", 0.75), ("p95", 0.95), ("p98", 0.98), ("p99", 0.99), ("p999", 0.999)]
     points = F.array(*[F.lit(p) for _, p in at])
     q = F.percentile("value", points) if accuracy is None else F.percentile_approx("value", points, accuracy)

@@ -88,13 +88,20 @@ def contains_resource(statements: DataFrame, subject: str) -> bool:
 
 
 def facts_as_of(
-    facts: DataFrame, valid: Column, database: Column, ids: Iterable[str] | DataFrame | None = None, properties: Sequence[str] | None = None
+    facts: DataFrame,
+    valid: Column,
+    database: Column,
+    ids: Iterable[str] | DataFrame | None = None,
+    properties: Sequence[str] | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
-    """Facts of objects as of two instants, without repetition."""
+    """Facts of objects as of two instants: a filter, without a shuffle. Facts are kept unique when they are
+    written; ``distinct`` is for tables that weren't."""
     found = only(facts, "object_id", ids)
     if properties is not None:
         found = found.where(F.col("property").isin(list(properties)))
-    return found.where(as_of(valid, database)).distinct()
+    found = found.where(as_of(valid, database))
+    return found.distinct() if distinct else found
 
 
 def temporal_properties(properties: DataFrame, hierarchy: DataFrame, include: bool) -> DataFrame:
@@ -242,6 +249,7 @@ def decompose(df: DataFrame, schema: DatasetSchema, database: Column, database_e
             database.alias("db_from"),
             (none if database_end is None else database_end).alias("db_to"),
         )
+        .distinct()
     )
     edges = [
         rows.where(F.col(c).isNotNull()).select(F.col("_id").alias("subject"), F.lit(r).alias("relation"), F.col(c).cast("string").alias("object"))

@@ -21,10 +21,12 @@ SUPERS = {"Temporal_Relation": TEMPORAL, "Spatial_Relation": SPATIAL, "Event_Rel
 #: Names of the vocabulary's other spelling.
 ALIASES = {"meets": "SPATIAL_MEETS", "equal": "SPATIAL_EQUALS", "overlaps": "SPATIAL_OVERLAPS"}
 
+#: The axioms of the vocabulary, from here to DISJOINT_CLASSES.
 INVERSE = {
-    "AFTER": "BEFORE", "CONTAINS": "INSIDE", "COVERS": "COVERED_BY", "COMPONENT_OF": "HAS_COMPONENT", "MERGED_FROM": "MERGED_INTO",
-    "SPLIT_FROM": "SPLIT_INTO", "HAS_RELATION": "RELATION_OF", "RELATED_BY": "RELATED_TO", "STARTS": "STARTED_BY", "FINISHES": "FINISHED_BY",
-    "TEMPORAL_MEETS": "MET_BY",
+    "AFTER": "BEFORE", "ASPECT_OF": "HAS_ASPECT", "BEGINS": "ENDS", "COMPONENT_OF": "HAS_COMPONENT", "CONCEPT_OF": "HAS_CONCEPT",
+    "CONTAINS": "INSIDE", "COVERS": "COVERED_BY", "FACET_OF": "HAS_FACET", "FACT_OF": "HAS_FACT", "HAS_OVERLAP": "OVERLAP_OF",
+    "HAS_RELATION": "RELATION_OF", "MERGE_OF": "MERGED", "MERGED_FROM": "MERGED_INTO", "RELATED_BY": "RELATED_TO", "SPLIT": "SPLIT_OF",
+    "SPLIT_FROM": "SPLIT_INTO", "STARTS": "STARTED_BY", "FINISHES": "FINISHED_BY", "TEMPORAL_MEETS": "MET_BY",
 }
 SYMMETRIC = frozenset("DISJOINT SPATIAL_EQUALS EQUALS SPATIAL_MEETS TEMPORAL_OVERLAPS SPATIAL_OVERLAPS".split())
 TRANSITIVE = frozenset("AFTER BEFORE CONTAINS DURING SPATIAL_EQUALS EQUALS INSIDE".split())
@@ -44,11 +46,21 @@ CHAINS = (
     ("SPLIT", "HAS_COMPONENT", "SPLIT_INTO"),
 )
 SUBCLASSES = {
-    "Split_Event": "Event", "Merged_Event": "Event", "Created_Event": "Event", "Destroyed_Event": "Event",
-    "Became_Event": "Event", "Interval_Object": "Temporal_Object", "Point_Object": "Temporal_Object",
+    "AttributeFact": "Fact", "Became_Event": "Event", "Created_Event": "Event", "Database_Object": "Temporal_Object", "Destroyed_Event": "Event",
+    "Exists_Object": "Temporal_Object", "GAUL": "Dataset", "Interval_Object": "Temporal_Object", "Merged_Event": "Event", "Point_Object": "Temporal_Object",
+    "RasterFact": "SpatialFact", "SpatialFact": "Fact", "Spatial_Overlap": "Overlap", "Split_Event": "Event", "Temporal_Overlap": "Overlap",
+    "Valid_Object": "Temporal_Object", "VectorFact": "SpatialFact",
 }
-DOMAINS = {"SPLIT_OF": "Split_Event", "MERGE_OF": "Merged_Event"}
-RANGES = {"COMPONENT_OF": "SpatialUnion", "CREATED": "Created_Event", "DESTROYED": "Destroyed_Event", "BECAME": "Became_Event"}
+DOMAINS = {
+    "Temporal_Relation": "Object", "COMPONENT_OF": "Object", "CONCEPT_OF": "Concept", "HAS_CONCEPT": "Object", "HAS_FACT": "Object", "HAS_RELATION": "Object",
+    "MERGE_OF": "Merged_Event", "OVERLAP_OF": "Overlap", "RELATED_TO": "Relation", "RELATION_OF": "Relation", "SPLIT_OF": "Split_Event",
+}
+RANGES = {
+    "Temporal_Relation": "Object", "BECAME": "Became_Event", "COMPONENT_OF": "SpatialUnion", "CONCEPT_OF": "Object", "CREATED": "Created_Event",
+    "DESTROYED": "Destroyed_Event", "FACET_OF": "Dataset", "HAS_CONCEPT": "Concept", "HAS_FACT": "Fact", "HAS_RELATION": "Relation", "OVERLAP_OF": "Object",
+    "RELATED_TO": "Concept", "RELATION_OF": "Object",
+}
+DISJOINT_CLASSES = (("AttributeFact", "SpatialFact"), ("Exists_Object", "Valid_Object"))
 
 
 class EventType(StrEnum):
@@ -161,21 +173,44 @@ def checkpointer(spark):
     return lambda df: df.checkpoint(eager=True)
 
 
+def _above(name: str, parents: dict[str, str]) -> list[str]:
+    found: list[str] = []
+    while (up := parents.get(name)) is not None and up not in found:
+        found.append(up)
+        name = up
+    return found
+
+
+def _listed(table: dict[str, list[str]], column: str) -> Column:
+    """What a literal table lists for a name; nothing for others."""
+    pairs = [x for k, v in table.items() if v for x in (F.lit(k), F.array(*map(F.lit, v)))]
+    return F.coalesce(F.create_map(*pairs)[F.col(column)], F.array().cast("array<string>"))
+
+
 def types(objects: DataFrame, facts: DataFrame, relations: DataFrame) -> DataFrame:
-    """``id, class``: stated classes, their superclasses, and what domains, ranges and the
-    temporal columns imply."""
+    """``id, class``: stated classes, their superclasses, and what domains and ranges (also those of
+    super-properties) and the temporal columns imply."""
     stated = objects.select(F.col("object_id").alias("id"), "class")
-    parent = F.create_map(*[F.lit(x) for p in SUBCLASSES.items() for x in p])
-    domain = F.create_map(*[F.lit(x) for p in DOMAINS.items() for x in p])
-    range_ = F.create_map(*[F.lit(x) for p in RANGES.items() for x in p])
-    implied = relations.select(F.col("subject").alias("id"), domain[F.col("relation")].alias("class")).unionByName(
-        relations.select(F.col("object").alias("id"), range_[F.col("relation")].alias("class"))
+    names = {*DOMAINS, *RANGES, *SUB}
+    implied = lambda table: {r: sorted({table[p] for p in (r, *_above(r, SUB)) if p in table}) for r in names}
+    ends = relations.select(F.col("subject").alias("id"), F.explode(_listed(implied(DOMAINS), "relation")).alias("class")).unionByName(
+        relations.select(F.col("object").alias("id"), F.explode(_listed(implied(RANGES), "relation")).alias("class"))
     )
     spans = objects.select(
         F.col("object_id").alias("id"), F.when(F.col("exists_at").isNotNull(), "Point_Object").when(F.col("exists_from").isNotNull(), "Interval_Object").alias("class")
     )
-    direct = stated.unionByName(implied).unionByName(spans).where(F.col("class").isNotNull())
-    return direct.unionByName(direct.select("id", parent[F.col("class")].alias("class")).where(F.col("class").isNotNull())).distinct()
+    direct = stated.unionByName(ends).unionByName(spans).where(F.col("class").isNotNull())
+    supers_ = _listed({c: _above(c, SUBCLASSES) for c in SUBCLASSES}, "class")
+    return direct.unionByName(direct.select("id", F.explode(supers_).alias("class"))).distinct()
+
+
+def disjoint_violations(typed: DataFrame) -> DataFrame:
+    """``id, class, other``: things of two classes that have nothing in common."""
+    own = sorted({c for pair in DISJOINT_CLASSES for c in pair})
+    sets = typed.where(F.col("class").isin(own)).groupBy("id").agg(F.collect_set("class").alias("own"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("class"), F.lit(b).alias("other")) for a, b in DISJOINT_CLASSES])
+    both = F.filter(pairs, lambda p: F.array_contains(F.col("own"), p["class"]) & F.array_contains(F.col("own"), p["other"]))
+    return sets.select("id", F.inline(both))
 
 
 def violations(relations: DataFrame) -> DataFrame:

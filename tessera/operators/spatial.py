@@ -87,7 +87,7 @@ def compare(a: Box, b: Box, threshold: float) -> Column:
     )
 
 
-def _cells(box: Box, size: float) -> Column:
+def cells(box: Box, size: float) -> Column:
     def along(lo: Column, hi: Column) -> Column:
         return F.sequence(F.floor(lo / size).cast("int"), F.floor(hi / size).cast("int"))
 
@@ -96,15 +96,24 @@ def _cells(box: Box, size: float) -> Column:
     )
 
 
-def grid_join(a: DataFrame, b: DataFrame, size: float = 10.0) -> DataFrame:
+def cell_size(*sides: DataFrame) -> float:
+    """Side of a grid cell for frames with envelopes: four mean extents of the side with the larger ones, so
+    that a shape falls into a few cells. One aggregate over each side; 1 if there is nothing to measure."""
+    extent = F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
+    found = [s.agg(extent).first()[0] for s in sides]
+    return 4.0 * max((x for x in found if x and x > 0), default=0.25)
+
+
+def grid_join(a: DataFrame, b: DataFrame, size: float | None = None) -> DataFrame:
     """Pairs whose envelopes intersect. The columns of ``a`` come back as ``a_*``, those of ``b``
-    as ``b_*``. A crowded cell is split by AQE's skew join; choose ``size`` near the larger
-    side's usual extent so that a shape falls into a few cells."""
+    as ``b_*``. A crowded cell is split by AQE's skew join. ``size``: see ``cell_size``, which is asked
+    if none is given."""
+    size = size or cell_size(a, b)
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns])
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     x, y = Box.of("a_"), Box.of("b_")
-    left = left.select("*", F.inline(_cells(x, size)))
-    right = right.select("*", F.inline(_cells(y, size)))
+    left = left.select("*", F.inline(cells(x, size)))
+    right = right.select("*", F.inline(cells(y, size)))
     corner = x.common(y)
     home = (F.floor(corner.xmin / size).cast("int") == F.col("_cx")) & (F.floor(corner.ymin / size).cast("int") == F.col("_cy"))
     return left.join(right, ["_cx", "_cy"]).where(x.intersects(y) & home).drop("_cx", "_cy")
@@ -136,7 +145,7 @@ def folded_intersection(groups: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.when(some, w * h).otherwise(0).alias("common_area"), F.when(some, 2 * (w + h)).otherwise(0).alias("common_perimeter"))
 
 
-def spatio_temporal_relations(shapes: DataFrame, buffer: float, threshold: float, size: float = 10.0) -> DataFrame:
+def spatio_temporal_relations(shapes: DataFrame, buffer: float, threshold: float, size: float | None = None) -> DataFrame:
     """All pairs of one class in a single pass: spatial report and temporal relation, for pairs that
     lie within the buffer and have a spatial relation. Rows of ``shapes``: object_id, bounds, exists_from, exists_to."""
     from ..functions.temporal import Span, relation

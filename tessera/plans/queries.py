@@ -397,7 +397,8 @@ def inference_closure(v: Views) -> DataFrame:
 
 
 @query("""SELECT object_id AS id, class FROM v_objects UNION SELECT object_id, 'Interval_Object' FROM v_objects UNION SELECT object_id, 'Temporal_Object' FROM v_objects
-  UNION SELECT subject || ':' || lower(event_type) || ':event', 'SpatialUnion' FROM v_splits JOIN v_objects ON object_id = subject WHERE event_type = 'MERGED' OR exists_to IS NOT NULL""")
+  UNION SELECT subject || ':' || lower(event_type) || ':event', 'SpatialUnion' FROM v_splits JOIN v_objects ON object_id = subject WHERE event_type = 'MERGED' OR exists_to IS NOT NULL
+  UNION SELECT component, 'Object' FROM v_splits JOIN v_objects ON object_id = subject WHERE event_type = 'MERGED' OR exists_to IS NOT NULL""")
 def inference_types(v: Views) -> DataFrame:
     _, _, edges = relations.split_merge_events(v.objects(), v.changes())
     return relations.types(v.objects(), v.facts(), edges)
@@ -616,7 +617,7 @@ def metrics_export(v: Views) -> DataFrame:
   quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.98) AS p98, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.999) AS p999
   FROM ({METRICS_SQL}) GROUP BY metric""")
 def metrics_decompose(v: Views) -> DataFrame:
-    return metrics.decompose(_metrics(v))
+    return metrics.decompose(_metrics(v), accuracy=None)
 
 
 @query("""SELECT year(o_orderdate) AS tbl_year, o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2""")
