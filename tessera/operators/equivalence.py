@@ -12,10 +12,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .objects import only
+from .relations import checkpointer
 
 
 class MixedDirections(ValueError):
@@ -101,44 +103,87 @@ def traverse(lives: dict[str, tuple[datetime, datetime | None]], changes: Iterab
     return found
 
 
-def neighbourhood(events: DataFrame, components: DataFrame, equals: DataFrame, ids: DataFrame) -> DataFrame:
-    """Ids linked to the given ones by changes or equality, at any distance: the part of the graph that
-    a traversal can touch. Each round is a join of the newest ids only; edges go both ways, so what these
-    reach is new unless it came in this round or the one before."""
-    from .relations import checkpointer
-
-    keep = checkpointer(events.sparkSession)
+def change_edges(events: DataFrame, components: DataFrame, equals: DataFrame) -> DataFrame:
+    """``s, p``: ids linked by a change or by equality, both ways. A change links its subject and its components,
+    and those with each other through it."""
     own = events.where(F.col("event_type").isin("SPLIT", "MERGED")).select(F.col("object_id").alias("s"), "event_id")
     star = own.join(components.select("event_id", F.col("object_id").alias("p")), "event_id").select("s", "p")
-    near = star.unionByName(star.select(F.col("p").alias("s"), F.col("s").alias("p")))
-    siblings = components.select("event_id", F.col("object_id").alias("s")).join(components.select("event_id", F.col("object_id").alias("p")), "event_id").select("s", "p")
-    eq = equals.select(F.col("subject").alias("s"), F.col("object").alias("p"))
-    edges = keep(near.unionByName(siblings).unionByName(eq).unionByName(eq.select(F.col("p").alias("s"), F.col("s").alias("p"))).where("s <> p").distinct())
-    seen = keep(ids.select(F.col(ids.columns[0]).alias("object_id")).distinct())
+    # components of one event meet in the event's name instead of pair by pair
+    hub = components.select(F.concat(F.lit("\x00"), "event_id").alias("s"), F.col("object_id").alias("p"))
+    one_way = star.unionByName(hub).unionByName(equals.select(F.col("subject").alias("s"), F.col("object").alias("p")))
+    return one_way.unionByName(one_way.select(F.col("p").alias("s"), F.col("s").alias("p"))).where("s <> p").distinct()
+
+
+def neighbourhoods(events: DataFrame, components: DataFrame, equals: DataFrame, ids: DataFrame) -> DataFrame:
+    """``group_id, object_id``: for each group of ids (group_id, object_id) all that is linked to them by changes or
+    equality, at any distance: the part of the graph that a traversal can touch. Each round is a join of the
+    newest ids only; edges go both ways, so what these reach is new unless it came in this round or the one before."""
+    keep = checkpointer(events.sparkSession)
+    edges = keep(change_edges(events, components, equals))
+    seen = keep(ids.select("group_id", "object_id").distinct())
     last, front, rounds = seen.limit(0), seen, 0
     while True:
-        found = edges.join(front.select(F.col("object_id").alias("s")), "s").select(F.col("p").alias("object_id")).distinct()
-        last, front = front, keep(found.join(front.unionByName(last), "object_id", "left_anti"))
+        found = edges.join(front.select("group_id", F.col("object_id").alias("s")), "s").select("group_id", F.col("p").alias("object_id")).distinct()
+        last, front = front, keep(found.join(front.unionByName(last), ["group_id", "object_id"], "left_anti"))
         if front.isEmpty():
-            return seen
+            return seen.where(~F.col("object_id").startswith("\x00"))
         seen = seen.unionByName(front)
         rounds += 1
         if rounds % 50 == 0:  # a long chain makes no plan of thousands of tables
             seen = keep(seen)
 
 
+def neighbourhood(events: DataFrame, components: DataFrame, equals: DataFrame, ids: DataFrame) -> DataFrame:
+    """The same for one group: the first column of ``ids``."""
+    one = ids.select(F.lit("").alias("group_id"), F.col(ids.columns[0]).alias("object_id"))
+    return neighbourhoods(events, components, equals, one).select("object_id")
+
+
+_WALK = "group_id string, object_id string"
+
+
+def equivalents(objects: DataFrame, events: DataFrame, components: DataFrame, equals: DataFrame, ids: DataFrame, t: datetime) -> DataFrame:
+    """``group_id, object_id``: what stands at t for each group of ids (group_id, object_id). Groups are found by
+    joins and walked in parallel; one task holds one group's connected changes (a place's history, not the dataset)."""
+    near = neighbourhoods(events, components, equals, ids)
+    none, time = F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz")
+
+    def rows(df: DataFrame, kind: str, a: Column, b: Column = none, start: Column = time, end: Column = time) -> DataFrame:
+        return df.select("group_id", F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), start.cast("timestamp_ntz").alias("start"), end.cast("timestamp_ntz").alias("end"))
+
+    lives = near.join(objects, "object_id")
+    own = near.join(events.where(F.col("event_type").isin("SPLIT", "MERGED")).select("object_id", "event_id"), "object_id")
+    parts = own.select("group_id", "event_id").distinct().join(components, "event_id")
+    same = near.join(equals.select(F.col("subject").alias("object_id"), "object"), "object_id")
+    table = (
+        rows(lives, "life", F.col("object_id"), start=F.coalesce("exists_from", "exists_at"), end=F.col("exists_to"))
+        .unionByName(rows(own, "event", F.col("event_id"), F.col("object_id")))
+        .unionByName(rows(parts, "part", F.col("event_id"), F.col("object_id")))
+        .unionByName(rows(same, "same", F.col("object_id"), F.col("object")))
+        .unionByName(rows(ids.select("group_id", "object_id"), "asked", F.col("object_id")))
+    )
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = {k: d for k, d in pdf.groupby("kind")}
+        pairs = lambda k: list(zip(of[k]["a"], of[k]["b"], strict=True)) if k in of else []
+        lives = {a: (s.to_pydatetime(), None if pd.isna(e) else e.to_pydatetime()) for a, s, e in zip(*(of["life"][c] for c in ("a", "start", "end")), strict=True)} if "life" in of else {}
+        members: dict[str, set[str]] = {}
+        for event, part in pairs("part"):
+            members.setdefault(event, set()).add(part)
+        changes = [Change(event, "", subject, frozenset(members.get(event, ()))) for event, subject in pairs("event")]
+        found = traverse(lives, changes, pairs("same"), of["asked"]["a"], t)
+        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]] * len(found), "object_id": sorted(found)}, dtype=object)
+
+    return table.groupBy("group_id").applyInPandas(walk, _WALK)
+
+
 def equivalent(objects: DataFrame, events: DataFrame, components: DataFrame, equals: DataFrame, ids: Iterable[str], t: datetime) -> set[str]:
-    """The traversal over tables. The connected part of the change graph around the inputs is found by
-    joins; that part (one place's history, not the dataset) is what the walk holds."""
-    spark = objects.sparkSession
-    near = neighbourhood(events, components, equals, spark.createDataFrame([(i,) for i in ids], "id string"))
-    lives = {r["object_id"]: (r["exists_from"] or r["exists_at"], r["exists_to"]) for r in objects.join(near, "object_id", "left_semi").toLocalIterator()}
-    own = events.where(F.col("event_type").isin("SPLIT", "MERGED")).join(near, "object_id", "left_semi")
-    parts = components.join(own.select("event_id").distinct(), "event_id", "left_semi").groupBy("event_id").agg(F.collect_set("object_id").alias("c"))
-    changes = [Change(r["event_id"], r["event_type"], r["object_id"], frozenset(r["c"])) for r in own.join(parts, "event_id").toLocalIterator()]
-    same = [(r["subject"], r["object"]) for r in equals.join(near.select(F.col("object_id").alias("subject")), "subject", "left_semi").toLocalIterator()]
-    return traverse(lives, changes, same, ids, t)
+    """The same for one group of ids; the answer comes to the driver."""
+    asked = objects.sparkSession.createDataFrame([("", i) for i in ids], _WALK)
+    return {r["object_id"] for r in equivalents(objects, events, components, equals, asked, t).collect()}
 
 
 def equivalent_objects(objects: DataFrame, events: DataFrame, components: DataFrame, equals: DataFrame, ids: Iterable[str], t: datetime) -> DataFrame:
-    return only(objects, "object_id", sorted(equivalent(objects, events, components, equals, ids, t)))
+    """The objects themselves; nothing passes through the driver."""
+    asked = objects.sparkSession.createDataFrame([("", i) for i in ids], _WALK)
+    return only(objects, "object_id", equivalents(objects, events, components, equals, asked, t).select("object_id"))

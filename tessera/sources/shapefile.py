@@ -119,9 +119,9 @@ def _record(shape: g.Shape) -> tuple[int, bytes]:
     return kind, body + b"".join(struct.pack("<2d", *p) for r in rings for p in r)
 
 
-def shapefile_zip(rows: list[dict], object_id: str, wkt: str, name: str = "export") -> bytes:
-    """.shp, .shx, .dbf and .prj of the rows: an export that a person opens, built on the driver. What the format
-    can't hold (values over 254 bytes, names over 10 characters or equal ones) raises an error."""
+def shapefile_parts(rows: list[dict], object_id: str, wkt: str) -> dict[str, bytes]:
+    """.shp, .shx, .dbf and .prj of the rows. What the format can't hold (values over 254 bytes, names over
+    10 characters or equal ones) raises an error."""
     shapes = [g.parse(r[wkt]) for r in rows]
     records = [_record(s) for s in shapes]
     kinds = {k for k, _ in records}
@@ -150,8 +150,46 @@ def shapefile_zip(rows: list[dict], object_id: str, wkt: str, name: str = "expor
     for c, w in zip(names, widths, strict=True):
         dbf += struct.pack("<11sc4xBB14x", c.encode(), b"C", w, 0)
     dbf += b"\r" + b"".join(b" " + b"".join(v.ljust(w) for v, w in zip(t, widths, strict=True)) for t in text) + b"\x1a"
+    return {"shp": head(100 + len(shp)) + shp, "shx": head(100 + len(shx)) + shx, "dbf": dbf, "prj": WGS84.encode()}
+
+
+def shapefile_zip(rows: list[dict], object_id: str, wkt: str, name: str = "export") -> bytes:
+    """The parts in one archive: an export that a person opens, built on the driver."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for suffix, data in (("shp", head(100 + len(shp)) + shp), ("shx", head(100 + len(shx)) + shx), ("dbf", dbf), ("prj", WGS84.encode())):
+        for suffix, data in shapefile_parts(rows, object_id, wkt).items():
             z.writestr(f"{name}.{suffix}", data)
     return out.getvalue()
+
+
+def write(df: DataFrame, path: str, object_id: str, wkt: str, rows_a_file: int = 50_000) -> DataFrame:
+    """Shapefiles of a whole dataset below a folder that executors share, each written by the task that has its
+    rows: ``file, rows`` of those that finished tasks report. Rows without a shape have no place in them."""
+    import pyarrow.fs as pafs
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, base = pafs.FileSystem.from_uri(path)
+        fs.create_dir(base, recursive=True)
+        task, count, held = TaskContext.get(), 0, []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal count
+            name, n = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{count:03d}", len(held)
+            for suffix, data in shapefile_parts(held, object_id, wkt).items():
+                with fs.open_output_stream(f"{base}/{name}.{suffix}") as out:
+                    out.write(data)
+            count += 1
+            held.clear()
+            return pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], names=["file", "rows"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                held += batch.slice(i, 1000).to_pylist()
+                if len(held) >= rows_a_file:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return df.where(F.col(wkt).isNotNull()).mapInArrow(parts, T.StructType([T.StructField("file", T.StringType()), T.StructField("rows", T.LongType())]))
