@@ -2,8 +2,8 @@
 let-bindings, intermediate tables and size-checked joins.
 
 Intermediate results live in the folder that ``spark.checkpoint.dir`` names, as
-Parquet, so that they outlive any executor. Where that setting is absent (unit
-tests, local mode) a temporary folder is used instead.
+Parquet, so that they outlive any executor. Where that setting is absent, local mode
+uses a temporary folder; a cluster, whose machines don't share one, gets an error.
 """
 
 from __future__ import annotations
@@ -76,6 +76,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessera-")
         _stashed.append((spark, base))
     return base.rstrip("/")
