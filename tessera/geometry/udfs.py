@@ -14,7 +14,7 @@ from . import polygon as g
 # types as objects: executors import this module without a session, which parsing text needs
 _DOUBLE, _BOOLEAN, _STRING = T.DoubleType(), T.BooleanType(), T.StringType()
 _ENVELOPE = T.StructType([T.StructField(c, _DOUBLE) for c in ("xmin", "ymin", "xmax", "ymax")])
-_REPORT = T.StructType([T.StructField("equality", _DOUBLE), T.StructField("relation", _STRING), T.StructField("overlap", _DOUBLE), T.StructField("overlap_wkt", _STRING)])
+_REPORT = T.StructType([T.StructField("equality", _DOUBLE), T.StructField("relation", _STRING), T.StructField("overlap", _DOUBLE), T.StructField("overlap_wkt", _STRING), T.StructField("common", _DOUBLE)])
 
 
 def _pair(f):
@@ -68,31 +68,42 @@ def reproject(srid: int):
     return to
 
 
+def _report(p: g.Shape, q: g.Shape, common: float | None, threshold: float) -> tuple:
+    """Equality, relation, overlap, its WKT and the common area of one pair; ``common`` where it is known."""
+    if not p.parts or not q.parts or not g.envelopes_meet(p, q):
+        return None, None, None, None, 0.0
+    if common is None:
+        common = g.common_area(p, q)
+    if common <= g.EPS and not g.intersects(p, q):
+        return None, None, None, None, 0.0
+    sp, sq = g.area(p), g.area(q)
+    equal = common / max(sp, sq) if max(sp, sq) else 0.0
+    equal = equal if equal >= threshold else None
+    areas = p.is_area and q.is_area
+    if common <= g.EPS * max(1.0, min(sp, sq)) if areas else g.touches(p, q):
+        return equal, "SPATIAL_MEETS", None, None, common
+    if common >= sq - g.EPS * max(1.0, sq) if areas else g.covers(p, q):
+        return equal, "COVERS", sq / sp, g.write(q), common
+    shape = g.intersection_shape(p, q)
+    return equal, "SPATIAL_OVERLAPS", common / sp if sp else None, g.write(shape) if shape else None, common
+
+
 def comparison(threshold: float):
-    """Struct of equality, relation, overlap and overlap_wkt, as the rectangle operator gives."""
+    """Struct of equality, relation, overlap and overlap_wkt, as the rectangle operator gives, and the common area.
+    The common areas of a batch's convex pairs are computed together."""
 
     @F.pandas_udf(_REPORT)
     def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            p = g.parse(x)
-            q = g.reproject(g.parse(y), p.srid)
-            meet, common = g.overlay(p, q)
-            if not meet:
-                out.append((None, None, None, None))
-                continue
-            sp, sq = g.area(p), g.area(q)
-            equal = common / max(sp, sq) if max(sp, sq) else 0.0
-            equal = equal if equal >= threshold else None
-            areas = p.is_area and q.is_area
-            if common <= g.EPS * max(1.0, min(sp, sq)) if areas else g.touches(p, q):
-                out.append((equal, "SPATIAL_MEETS", None, None))
-            elif common >= sq - g.EPS * max(1.0, sq) if areas else g.covers(p, q):
-                out.append((equal, "COVERS", sq / sp, g.write(q)))
-            else:
-                shape = g.intersection_shape(p, q)
-                out.append((equal, "SPATIAL_OVERLAPS", common / sp if sp else None, g.write(shape) if shape else None))
-        return pd.DataFrame(out, columns=["equality", "relation", "overlap", "overlap_wkt"]).astype({"equality": "float64", "overlap": "float64"})
+        left = [g.parse(x) for x in a]
+        right = [g.reproject(g.parse(y), p.srid) if g.parse(y).srid != p.srid else g.parse(y) for p, y in zip(left, b, strict=True)]
+        common: list[float | None] = [None] * len(left)
+        convex = [i for i, (p, q) in enumerate(zip(left, right, strict=True)) if p.convex and q.convex]
+        if convex:
+            for i, x in zip(convex, g.convex_common_areas([left[i].convex for i in convex], [right[i].convex for i in convex]).tolist(), strict=True):
+                common[i] = x
+        out = [_report(p, q, c, threshold) for p, q, c in zip(left, right, common, strict=True)]
+        kinds = {"equality": "float64", "overlap": "float64", "common": "float64"}
+        return pd.DataFrame(out, columns=["equality", "relation", "overlap", "overlap_wkt", "common"]).astype(kinds)
 
     return compare
 

@@ -698,10 +698,8 @@ def compare_polygons(v: Views) -> DataFrame:
     from ..geometry import udfs
 
     pairs = udfs.spread(spatial.grid_join(_polygons(v, "supplier"), _polygons(v, "part")))
-    r = udfs.comparison(0.4)(F.col("a_wkt"), F.col("b_wkt"))
-    return pairs.select(
-        F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"), F.round(udfs.common_area(F.col("a_wkt"), F.col("b_wkt")), 6).alias("common"), r["relation"].alias("relation")
-    )
+    found = pairs.select(F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"), udfs.comparison(0.4)(F.col("a_wkt"), F.col("b_wkt")).alias("r"))
+    return found.select("a", "b", F.round("r.common", 6).alias("common"), "r.relation")
 
 
 @query("SELECT object_id FROM v_part_rect WHERE xmin <= 5 AND xmax >= -5 AND ymin <= 5 AND ymax >= -5")

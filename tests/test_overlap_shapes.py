@@ -62,3 +62,21 @@ def test_long_ids_stay_whole(spark):
 
     out = spark.range(1).select(sinks.feature(F.concat(F.lit('q"]'), F.repeat(F.lit("x"), 1_100_000)), None, {}).alias("v")).first().v
     assert json.loads(out)["id"] == 'q"]' + "x" * 1_100_000
+
+
+def test_convex_pairs_at_once():
+    import math
+
+    rng = random.Random(9)
+
+    def convex():
+        x, y, r, n = rng.uniform(0, 5), rng.uniform(0, 5), rng.uniform(0.2, 3), rng.randint(3, 8)
+        return [(x + r * math.cos(t), y + r * math.sin(t)) for t in sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))]
+
+    box = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
+    a = [convex() for _ in range(300)] + [box(0, 0, 2, 2), box(0, 0, 2, 2), box(0, 0, 2, 2), box(0, 0, 4, 4)]
+    b = [convex() for _ in range(300)] + [box(2, 0, 3, 2), box(0, 0, 2, 2), box(5, 5, 6, 6), box(1, 1, 2, 2)]
+    got = g.convex_common_areas(a, b)
+    want = [abs(g._shoelace(g._clip(p, q))) for p, q in zip(a, b, strict=True)]
+    assert got.tolist() == pytest.approx(want, abs=1e-9)
+    assert got[-4:].tolist() == [0, 4, 0, 1]
