@@ -8,7 +8,8 @@
    chunk.
 2. Each bucket, which holds about ``bucket_windows`` entries at any input size, finds hashes
    seen by several chunks and marks all but the earliest window. The number of tasks follows the
-   input: ``task_bytes`` of text for each.
+   input: ``task_bytes`` of text for each, times the root of the input in TB beyond the first, so that
+100 TB make some hundred thousand tasks.
 3. The marks go back to their chunk, where windows that touch or overlap merge into maximal
    removal intervals for each document; these are joined to the texts.
 
@@ -23,7 +24,7 @@ input to such a table first.
 
 from __future__ import annotations
 
-import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -272,9 +273,9 @@ def removals(
     doc_id: str = "doc_id",
     text: str = "text",
     width: int = 20,
-    chunk_windows: int = 1_500_000,
+    chunk_windows: int = 1_200_000,
     bucket_windows: int = 1_000_000,
-    task_bytes: int = 32 << 20,
+    task_bytes: int = 16 << 20,
     store: bool = False,
 ) -> DataFrame:
     """``doc, tk, n_removed, cuts`` of the documents that lose words; ``cuts`` packs pairs of
@@ -285,7 +286,7 @@ def removals(
     docs = scratch.keep(docs, "documents") if store else docs
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, (total // 6 // bucket_windows).bit_length())
-    tasks = max(16, -(-total // task_bytes))
+    tasks = max(4, math.ceil(total / (task_bytes * max(1.0, math.sqrt(total / 1e12)))))
     # a copy must not count as a repeat of its own document
     docs = one_of_each(docs, ["doc", "tk"], scratch, "copies")
     sent = docs.mapInArrow(_hasher(width, buckets, chunk_windows), _SENT)
