@@ -12,6 +12,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,28 +110,32 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, extra: Column
 
 
 def small_or_salted(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, salts: int = 64
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str = "left",
+    limit: int = BROADCAST_ROWS,
+    salts: int = 64,
+    extra: Column | None = None,
+    null_safe: bool = True,
 ) -> DataFrame:
     """Join ``left`` to a table with one row for each key.
 
-    The right side is counted: up to ``limit`` rows it is broadcast; beyond that it is
-    copied once for each salt and the left rows are dealt over the salts, so that a key
-    with a third of all rows is spread over ``salts`` tasks. Keys compare null-safe.
+    The right side is measured as in ``broadcast_if_small``: up to ``limit`` rows it is broadcast; beyond
+    that it is copied once for each salt and the left rows are dealt over the salts, so that a key
+    with a third of all rows is spread over ``salts`` tasks. Keys compare null-safe unless told otherwise.
     """
-    if right.limit(limit + 1).count() <= limit:
+    n, size = right.agg(F.count(F.lit(1)), F.sum(F.lit(0) if extra is None else extra.cast("long"))).first()
+    if n <= limit and (size or 0) <= BROADCAST_BYTES:
         right = F.broadcast(right)
-        pairs = [(k, k) for k in on]
+        keys = on
     else:
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = [(k, k) for k in [*on, "_salt"]]
-    for k, _ in pairs:
-        right = right.withColumnRenamed(k, f"_r_{k}")
-    cond = None
-    for k, _ in pairs:
-        c = left[k].eqNullSafe(right[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(right, cond, how).drop(*[f"_r_{k}" for k, _ in pairs], "_salt")
+        keys = [*on, "_salt"]
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_r_{k}"]) if null_safe else left[k] == right[f"_r_{k}"] for k in keys])
+    return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys], "_salt")
 
 
 def text_key(text: Column) -> Column:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, Scratch, alnum_words, broadcast_if_small, let, text_key, upto
+from ._common import BROADCAST_ROWS, Scratch, alnum_words, broadcast_if_small, let, small_or_salted, text_key, upto
 
 
 def _run(words: Column, start: Column, length: int) -> list[Column]:
@@ -135,7 +135,7 @@ def contamination(
         "doc", "tk", let(words, lambda w: F.struct(F.size(w).alias("n"), fingerprints(w).alias("fps"))).alias("x")
     ).select("doc", "tk", "x.n", F.posexplode_outer("x.fps").alias("at", "fp"))
     seen = scratch.keep(
-        first.join(broadcast_if_small(prints, broadcast_rows), "fp", "left")
+        small_or_salted(first, prints, ["fp"], limit=broadcast_rows, null_safe=False)
         .where(F.coalesce("at", F.lit(0)).eqNullSafe(0) | F.col("hit"))
         .groupBy("doc", "tk")
         .agg(
@@ -168,9 +168,8 @@ def contamination(
 
     found = joined.select("doc", "tk", F.inline(let(words, lambda w: candidates(w, F.col("fps")))))
     hits = scratch.keep(
-        found.join(
-            broadcast_if_small(windows.select("len", "fp", "window", "set_id"), broadcast_rows, F.octet_length("window")),
-            ["len", "fp", "window"],
+        small_or_salted(
+            found, windows.select("len", "fp", "window", "set_id"), ["len", "fp", "window"], "inner", broadcast_rows, extra=F.octet_length("window"), null_safe=False
         )
         .groupBy("doc", "tk")
         .agg(
@@ -192,8 +191,7 @@ def contamination(
     sets = windows.select("set_id", "items").dropDuplicates(["set_id"])
     item_bytes = F.aggregate("items", F.lit(0), lambda n, x: n + 8 + F.octet_length(x))
     items = (
-        hits.select("doc", "tk", F.explode("sets").alias("set_id"))
-        .join(broadcast_if_small(sets, broadcast_rows, item_bytes), "set_id")
+        small_or_salted(hits.select("doc", "tk", F.explode("sets").alias("set_id")), sets, ["set_id"], "inner", broadcast_rows, extra=item_bytes, null_safe=False)
         .select("doc", "tk", F.explode("items").alias("item"))
         .groupBy("doc", "tk")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))

@@ -204,6 +204,8 @@ def train(
         below = code_lengths(model, code % _BASE**k, k - 1)
         below = np.where(np.isnan(values), below + _looked_up(escape, bits, code // _BASE), values)
         model = Model(names, order, bits, model.single, (*model.strings, table(code, below)), (*model.escapes, escape))
+    scratch.drop("counts")
+    scratch.drop("contexts")
     return model
 
 
