@@ -292,8 +292,9 @@ def predictions(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     return identify(slim, model).select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(documents: DataFrame, *, text: str = "text", least: float = 0.5, **options) -> DataFrame:
-    """The documents with a language that scores at least ``least``, with all their columns."""
+def keep_identified(documents: DataFrame, *, text: str = "text", least: float = 0.4, **options) -> DataFrame:
+    """The documents with a language that scores at least ``least``, with all their columns. A text that two
+    languages explain equally well scores one half and stays."""
     model = train(documents, text=text, **options)
     found = identify(documents, model, text=text, names=("_lang_pred", "_lang_score"))
     return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*documents.columns)
