@@ -56,7 +56,7 @@ def _stages(spark):
     return [found.apply(i) for i in range(found.size())]
 
 
-PAIRS = ["common_area_shapes"]
+PAIRS = ["common_area_shapes", "compare_shapes"]
 
 
 @pytest.mark.parametrize("name", PAIRS)
