@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tessera.operators import spatial
+from tessera.operators import relations, spatial
 from tessera.plans import more  # noqa: F401  registers its queries
 from tessera.plans.queries import ORACLE, QUERIES
+from tessera.schema import TABLES as TABLES_OF
+from tessera.schema import empty
 
 from .compare import TABLES, same
 
@@ -56,7 +58,7 @@ def _stages(spark):
     return [found.apply(i) for i in range(found.size())]
 
 
-PAIRS = ["common_area_shapes", "compare_shapes"]
+PAIRS = ["common_area_shapes", "compare_shapes", "write_overlaps"]
 
 
 @pytest.mark.parametrize("name", PAIRS)
@@ -68,3 +70,14 @@ def test_equal_shapes_are_reported_once(spark, copies, name):
     QUERIES[name](spark, copies).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
     read = [s.shuffleReadRecords() for s in _stages(spark) if s.stageId() > before]
     assert seen.get["n"] >= 3 * 40 * 39 and 0 < sum(read) < 1500
+
+
+def test_stored_overlaps_are_replaced_without_dealing_the_new_ones(spark):
+    """Rows of the same name go; further columns that both have are kept."""
+    old = spark.createDataFrame([("overlap:a:b", "a", "b", "old", 0.1, 1.0), ("overlap:a:c", "a", "c", "old", 0.2, 2.0)], "overlap_id string, a string, b string, wkt string, pct double, area double")
+    report = spark.createDataFrame([("a", "b", 0.5, "new", 5.0), ("a", "d", 0.6, "new", 6.0), ("a", "e", None, None, None)], "a string, b string, overlap double, overlap_wkt string, area double")
+    got = {(r.overlap_id, r.wkt, r.pct, r.area) for r in relations.add_overlaps(old, report).collect()}
+    assert got == {("overlap:a:b", "new", 0.5, 5.0), ("overlap:a:d", "new", 0.6, 6.0), ("overlap:a:c", "old", 0.2, 2.0)}
+    assert relations.add_overlaps(old.drop("area"), report).columns == TABLES_OF["overlaps"].names
+    plan = relations.add_overlaps(empty(spark, "overlaps"), report)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
