@@ -137,11 +137,6 @@ def union_area_within(wkts: pd.Series, x: pd.Series, y: pd.Series, size: pd.Seri
     return g.unions_common_area([square], [g.exterior(g.parse(w)) for w in set(wkts.dropna())])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals few, costly rows over all tasks; the adaptive planner would merge them by their bytes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def with_envelope(df: DataFrame, wkt: str) -> DataFrame:
     return df.withColumn("_env", envelope(F.col(wkt))).select(*df.columns, "_env.xmin", "_env.ymin", "_env.xmax", "_env.ymax")
 

@@ -702,9 +702,9 @@ def _polygons(v: Views, kind: str) -> DataFrame:
 def compare_polygons(v: Views) -> DataFrame:
     from ..geometry import udfs
 
-    pairs = udfs.spread(spatial.grid_join(_polygons(v, "supplier"), _polygons(v, "part")))
-    found = pairs.select(F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"), udfs.comparison(0.4)(F.col("a_wkt"), F.col("b_wkt")).alias("r"))
-    return found.select("a", "b", F.round("r.common", 6).alias("common"), "r.relation")
+    pairs = spatial.block_join(_polygons(v, "supplier"), _polygons(v, "part"))
+    found = pairs.select("a_rows", "b_rows", udfs.comparison(0.4)(F.col("a_wkt"), F.col("b_wkt")).alias("r"))
+    return _reported(found.select("a_rows", "b_rows", F.round("r.common", 6).alias("common"), "r.relation"), "common", "relation")
 
 
 @query("SELECT object_id FROM v_part_rect WHERE xmin <= 5 AND xmax >= -5 AND ymin <= 5 AND ymax >= -5")

@@ -58,7 +58,7 @@ def _stages(spark):
     return [found.apply(i) for i in range(found.size())]
 
 
-PAIRS = ["common_area_shapes", "compare_shapes", "write_overlaps"]
+PAIRS = ["common_area_shapes", "compare_shapes", "write_overlaps", "compare_polygons"]
 
 
 @pytest.mark.parametrize("name", PAIRS)
