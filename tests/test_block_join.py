@@ -58,7 +58,7 @@ def _stages(spark):
     return [found.apply(i) for i in range(found.size())]
 
 
-PAIRS = ["common_area_shapes", "compare_shapes", "write_overlaps", "compare_polygons", "compare_rect", "spatial_equality_rect", "relation_calc_rect"]
+PAIRS = ["common_area_shapes", "compare_shapes", "write_overlaps", "compare_polygons", "compare_rect", "spatial_equality_rect", "relation_calc_rect", "containment_rect"]
 
 
 @pytest.mark.parametrize("name", PAIRS)
