@@ -10,6 +10,10 @@ from ..operators.merge import version_chain
 from ..schema import TABLES
 
 
+#: Bytes of files of orders for one task: some hundred thousand facts.
+TASK_BYTES = 1 << 20
+
+
 class Views:
     """Views over the Parquet tables of one folder; nothing is read before an action."""
 
@@ -19,6 +23,13 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def _dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """A table dealt by a key over so many tasks that each has ``TASK_BYTES`` of its files: the adaptive planner
+        would make as few as there are cores, whose sorts grow with the input."""
+        files = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        least = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        return df.repartition(max(least, -(-files // TASK_BYTES)), key)
+
     def objects(self) -> DataFrame:
         """Orders live from order to last shipment; customers from their first order on."""
         orders, items = self.table("orders"), self.table("lineitem")
@@ -33,12 +44,12 @@ class Views:
 
     def facts(self) -> DataFrame:
         """Three properties of customers that change with their orders, as merges would leave them."""
-        orders = self.table("orders")
+        orders = self._dealt(self.table("orders"), "o_custkey")  # all that follows stays in these tasks
         # one order for each customer and date: the one with the least key
         first = orders.groupBy("o_custkey", "o_orderdate").agg(F.min(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")).alias("o"))
         band = F.floor(F.col("o.o_totalprice") / 50000).cast("int").cast("string")
         long = first.select(
-            F.concat(F.lit("C"), "o_custkey").alias("object_id"),
+            "o_custkey",
             F.col("o_orderdate").alias("at"),
             F.inline(
                 F.array(
@@ -48,8 +59,8 @@ class Views:
                 )
             ),
         )
-        chain = version_chain(long, ["object_id", "property", "datatype"], "value", "at")
-        return chain.withColumns({"lang": F.lit(None).cast("string"), "valid_at": F.lit(None).cast("timestamp_ntz")}).select(*TABLES["facts"].names)
+        chain = version_chain(long, ["o_custkey", "property", "datatype"], "value", "at")
+        return chain.withColumns({"object_id": F.concat(F.lit("C"), "o_custkey"), "lang": F.lit(None).cast("string"), "valid_at": F.lit(None).cast("timestamp_ntz")}).select(*TABLES["facts"].names)
 
     def order_facts(self) -> DataFrame:
         """The customer of each order, as a fact of the order."""
