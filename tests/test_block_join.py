@@ -72,6 +72,12 @@ def test_equal_shapes_are_reported_once(spark, copies, name):
     assert seen.get["n"] >= 3 * 40 * 39 and 0 < sum(read) < 1500
 
 
+def test_overlaps_are_rounded_on_blocks(spark, sf):
+    """Not once for each of their pairs."""
+    plan = QUERIES["write_overlaps"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in plan and "round(" not in plan[: plan.index("Generate")]
+
+
 def test_stored_overlaps_are_replaced_without_dealing_the_new_ones(spark):
     """Rows of the same name go; further columns that both have are kept."""
     old = spark.createDataFrame([("overlap:a:b", "a", "b", "old", 0.1, 1.0), ("overlap:a:c", "a", "c", "old", 0.2, 2.0)], "overlap_id string, a string, b string, wkt string, pct double, area double")
