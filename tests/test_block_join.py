@@ -72,6 +72,19 @@ def test_equal_shapes_are_reported_once(spark, copies, name):
     assert seen.get["n"] >= 3 * 40 * 39 and 0 < sum(read) < 1500
 
 
+def test_pairs_of_blocks_are_made_a_row_at_a_time(spark):
+    """Of a pair of blocks whose pairs are read one by one, those of a single row are made at once."""
+    rows = lambda n: F.transform(F.sequence(F.lit(1), F.col("id").cast("int") + n), lambda k: F.struct(k.alias("k")))
+    first = spatial.expand(spark.range(0, 1, 1, 1).select(rows(50).alias("a_rows"), rows(20).alias("b_rows"))).limit(1)
+    assert len(first.collect()) == 1
+    node, made = first._jdf.queryExecution().executedPlan(), []
+    while node.children().nonEmpty():
+        if node.nodeName() == "Generate":
+            made.append(node.metrics().apply("numOutputRows").value())
+        node = node.children().head()
+    assert len(made) == 2 and 0 < max(made) <= 50
+
+
 def test_overlaps_are_rounded_on_blocks(spark, sf):
     """Not once for each of their pairs."""
     plan = QUERIES["write_overlaps"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
