@@ -2,7 +2,7 @@
 
 1. Each text becomes the set of its distinct shingles (64-bit hashes) and a signature: the
    minima of ``bands * rows`` universal hash functions over the set, folded into one key
-   for each band. Texts with equal sets are one class from here on.
+   for each band, and one bit of each minimum. Texts with equal sets are one class from here on.
 2. Classes that share a band key are candidates. Each is tied to its bucket's least class
    only, so a bucket makes one row for each member. Connected components of these ties
    (large-star, small-star) hold all candidate pairs; with the defaults a pair of
@@ -10,7 +10,9 @@
 3. The full sets of each candidate component meet, and a search from member to member
    compares each reached one with all that are not reached yet: every link at or above the
    threshold counts, also between texts that are not like the component's least one, and
-   copies that are reached are not compared again. A component of more than ``limit``
+   copies that are reached are not compared again. Of those not reached, sets are compared
+   only where their sizes and the bits of their minima allow the threshold: a component that
+   a common line makes has many members and few links. A component of more than ``limit``
    shingles is split into blocks of members and every pair of blocks is searched.
 4. Components of the confirmed links are the groups.
 
@@ -23,6 +25,7 @@ and keep a null id; rows that repeat an id are one node. Other columns are not r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +66,15 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.nd
         yield (i, j, *_distinct(grams, n))
 
 
+def _lists(values: np.ndarray, full: np.ndarray, n: int) -> pa.ListArray:
+    """Rows of ``values`` as the lists of rows ``full`` of ``n``; the others' are empty."""
+    sizes = np.zeros(n + 1, dtype=np.int32)
+    sizes[full + 1] = values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(values[full].reshape(-1).view(np.int64)))
+
+
 def _signer(width: int, bands: int, rows: int, seed: int):
-    """mapInArrow: ``doc, text`` to ``doc, n, h1, h2, bands``."""
+    """mapInArrow: ``doc, text`` to ``doc, n, h1, h2, bands, signs``."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -74,51 +84,53 @@ def _signer(width: int, bands: int, rows: int, seed: int):
             ids = batch.column(0)
             for i, j, sets, n in shingle_sets(batch.column(1), width):
                 full = np.flatnonzero(n)
-                keys = np.zeros((j - i, bands), dtype=np.uint64)
+                keys, signs = np.zeros((j - i, bands), dtype=np.uint64), np.zeros((j - i, -(-bands * rows // 64)), dtype=np.uint64)
                 sums = np.zeros((2, j - i), dtype=np.uint64)
                 if len(full):
                     starts = np.concatenate(([0], np.cumsum(n[full])[:-1]))
                     for k, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
                         sums[k, full] = np.add.reduceat(_bytes.mix64(sets ^ np.uint64(salt)), starts)
-                    _minima(sets, starts, mul, add, bands, rows, keys, full)
+                    _minima(sets, starts, mul, add, bands, rows, keys, signs, full)
                 yield pa.record_batch(
                     [
                         ids.slice(i, j - i),
                         pa.array(n.astype(np.int64)),
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)),
-                            pa.array(keys[full].reshape(-1).view(np.int64)),
-                        ),
+                        _lists(keys, full, j - i),
+                        _lists(signs, full, j - i),
                     ],
-                    names=["doc", "n", "h1", "h2", "bands"],
+                    names=["doc", "n", "h1", "h2", "bands", "signs"],
                 )
             _bytes.trim()
 
     return sign
 
 
-def _minima(sets, starts, mul, add, bands, rows, keys, full, step: int = 1 << 15) -> None:
-    """Fill ``keys[full]``; works on runs of whole texts that fit a core's cache."""
+def _minima(sets, starts, mul, add, bands, rows, keys, signs, full, step: int = 1 << 15) -> None:
+    """Fill ``keys[full]`` and ``signs[full]``; works on runs of whole texts that fit a core's cache."""
     ends = np.append(starts[1:], len(sets))
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
         part, at = sets[starts[i] : ends[j - 1]], starts[i:j] - starts[i]
-        room = np.empty_like(part)
+        room, least = np.empty_like(part), np.empty((bands * rows, j - i), dtype=np.uint64)
         for b in range(bands):
             key = np.full(j - i, b + 1, dtype=np.uint64)
             for r in range(b * rows, b * rows + rows):
                 np.multiply(part, mul[r], out=room)
                 np.add(room, add[r], out=room)
-                key = _bytes.mix64(key * np.uint64(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(room, at))
+                least[r] = np.minimum.reduceat(room, at)
+                key = _bytes.mix64(key * np.uint64(0x9E3779B97F4A7C15) ^ least[r])
             keys[full[i:j], b] = key
+        bits = np.zeros((j - i, 64 * signs.shape[1]), dtype=bool)
+        bits[:, : bands * rows] = (_bytes.mix64(least) >> np.uint64(63)).T
+        signs[full[i:j]] = np.packbits(bits, axis=1).view(np.uint64)
         i = j
 
 
 def _packer(width: int):
-    """mapInArrow: ``pc, ks, cls, text`` to the same with the packed set for the text."""
+    """mapInArrow: ``pc, ks, cls, signs, text`` to the same with the packed set for the text."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,58 +140,107 @@ def _packer(width: int):
                 blob = pa.Array.from_buffers(
                     pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(sets.tobytes())]
                 ).cast(pa.binary())
-                yield pa.record_batch([rows.column("pc"), rows.column("ks"), rows.column("cls"), blob], names=["pc", "ks", "cls", "blob"])
+                yield pa.record_batch([*(rows.column(c) for c in ("pc", "ks", "cls", "signs")), blob], names=["pc", "ks", "cls", "signs", "blob"])
             _bytes.trim()
 
     return pack
 
 
-def reach(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what pairs of similarity >= percent connect: (member, least member reached)."""
+def least_common(minima: int, percent: int, risk: float = 1e-9) -> int:
+    """How many of the minima's bits a pair of similarity ``percent`` has in common, but for this risk."""
+    same, below = (1 + percent / 100) / 2, 0.0
+    for k in range(minima + 1):
+        below += comb(minima, k) * same**k * (1 - same) ** (minima - k)
+        if below > risk:
+            return k
+    return minima
+
+
+class _Open:
+    """Members of which half at least are not reached yet, by size: their signs word by word, their sets end to end.
+    ``n``: how many are not reached."""
+
+    def __init__(self, at: np.ndarray, sizes: np.ndarray, signs: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> None:
+        self.at, self.sizes, self.n = at, sizes[at], len(at)
+        self.signs = np.ascontiguousarray(signs[at].T)
+        self.ends = np.cumsum(self.sizes)
+        self.codes = codes[_ranges(starts[at], self.sizes)]
+
+    def common(self, rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Marked shingles of each of these rows, which are in order."""
+        sizes = self.sizes[rows]
+        lo, hi = self.ends[rows[0]] - sizes[0], self.ends[rows[-1]]
+        if 2 * int(sizes.sum()) > hi - lo:  # most of what lies between: read it in one go
+            sums = np.concatenate(([0], np.cumsum(marks[self.codes[lo:hi]], dtype=np.int64)))
+            return sums[self.ends[rows] - lo] - sums[self.ends[rows] - sizes - lo]
+        sums = np.concatenate(([0], np.cumsum(marks[self.codes[_ranges(self.ends[rows] - sizes, sizes)]], dtype=np.int64)))
+        ends = np.cumsum(sizes)
+        return sums[ends] - sums[ends - sizes]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def reach(ids: np.ndarray, sets: list[np.ndarray], signs: np.ndarray, percent: int, differ: int) -> list[tuple[int, int]]:
+    """Links that connect what pairs of similarity >= percent connect: (member, least member reached). Pairs of which
+    more than ``differ`` bits of the signs differ are taken for less similar."""
     sizes = np.array([len(s) for s in sets])
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    starts = np.cumsum(sizes) - sizes
     marks = np.zeros(codes.max() + 1, dtype=bool)
-    order = np.argsort(ids, kind="stable")
-    left, links = order.copy(), []
-    flat, starts = None, None
-
-    while len(left):
-        seed, left = left[0], left[1:]
-        frontier, flat = [seed], None
-        while frontier and len(left):
+    reached, links = np.zeros(len(ids), dtype=bool), []
+    left = _Open(np.argsort(sizes, kind="stable"), sizes, signs, codes, starts)
+
+    for seed in np.argsort(ids, kind="stable").tolist():
+        frontier = [] if reached[seed] else [seed]
+        left.n -= len(frontier)
+        reached[seed] = True
+        while frontier and left.n:
             x = frontier.pop()
-            if flat is None:
-                flat = np.concatenate([codes[bounds[y] : bounds[y + 1]] for y in left])
-                starts = np.concatenate(([0], np.cumsum(sizes[left])[:-1]))
-            own = codes[bounds[x] : bounds[x + 1]]
+            if 2 * left.n < len(left.at):
+                left = _Open(left.at[~reached[left.at]], sizes, signs, codes, starts)
+            n = int(sizes[x])
+            lo = int(np.searchsorted(left.sizes, -(-percent * n // 100)))
+            hi = int(np.searchsorted(left.sizes, 100 * n // percent, side="right")) if percent > 0 else len(left.sizes)
+            apart = sum(np.bitwise_count(own ^ word[lo:hi]).astype(np.int16) for own, word in zip(signs[x], left.signs, strict=True))
+            found = lo + np.flatnonzero(apart <= differ)
+            found = found[~reached[left.at[found]]]
+            if not len(found):
+                continue
+            own = codes[starts[x] : starts[x] + n]
             marks[own] = True
-            common = np.add.reduceat(marks[flat].astype(np.int64), starts)
+            common = left.common(found, marks)
             marks[own] = False
-            near = 100 * common >= percent * (sizes[x] + sizes[left] - common)
-            if near.any():
-                frontier += left[near].tolist()
-                links += [(int(ids[y]), int(ids[seed])) for y in left[near]]
-                left, flat = left[~near], None
+            found = found[100 * common >= percent * (n + left.sizes[found] - common)]
+            more = left.at[found]
+            reached[more] = True
+            frontier += more.tolist()
+            links += [(int(ids[y]), int(ids[seed])) for y in more]
+            left.n -= len(more)
     return links
 
 
-def _linker(percent: int):
+def _linker(percent: int, differ: int):
     """mapInArrow over partitions sorted by ``pc, k``: confirmed links ``u, v`` of each group."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, sets, out = None, [], [], []
+        group, ids, sets, signs, out = None, [], [], [], []
 
         def done() -> list[tuple[int, int]]:
-            return reach(np.array(ids), sets, percent) if len(ids) > 1 else []
+            return reach(np.array(ids), sets, np.array(signs), percent, differ) if len(ids) > 1 else []
 
         for batch in batches:
             keys = zip(batch.column("pc").to_pylist(), batch.column("k").to_pylist(), strict=True)
-            for key, cls, blob in zip(keys, batch.column("cls").to_pylist(), batch.column("blob"), strict=True):
+            words = batch.column("signs").flatten().to_numpy().view(np.uint64).reshape(len(batch), -1).copy()
+            for key, cls, sign, blob in zip(keys, batch.column("cls").to_pylist(), words, batch.column("blob"), strict=True):
                 if key != group:
                     out += done()
-                    group, ids, sets = key, [], []
+                    group, ids, sets, signs = key, [], [], []
                 ids.append(cls)
+                signs.append(sign)
                 sets.append(np.frombuffer(blob.as_buffer(), dtype=np.uint64).copy())
             _bytes.trim()
             if out:
@@ -191,6 +252,10 @@ def _linker(percent: int):
     return link
 
 
+#: Shingles that a member of a search counts as at least: short sets cost time by their number.
+LEAST = 64
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -205,28 +270,28 @@ def near_duplicates(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; ``component_id`` is the least id of
-    its group. ``limit``: shingles of the members that one search holds in memory."""
+    its group. ``limit``: shingles of the members that one search holds in memory; a member counts as ``LEAST`` at least."""
     scratch = Scratch(documents.sparkSession, "near-dedup")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = scratch.keep(
-        docs.mapInArrow(_signer(width, bands, rows, seed), "doc long, n long, h1 long, h2 long, bands array<long>"), "signed"
+        docs.mapInArrow(_signer(width, bands, rows, seed), "doc long, n long, h1 long, h2 long, bands array<long>, signs array<long>"), "signed"
     )
     classes = scratch.keep(
         signed.where((F.col("n") > 0) & F.col("doc").isNotNull())
         .groupBy("h1", "h2", "n")
-        .agg(F.min(F.struct("doc", "bands")).alias("x"), F.count(F.lit(1)).alias("members"))
-        .select("h1", "h2", "n", "members", F.col("x.doc").alias("cls"), F.col("x.bands").alias("bands")),
+        .agg(F.min(F.struct("doc", "bands", "signs")).alias("x"), F.count(F.lit(1)).alias("members"))
+        .select("h1", "h2", "n", "members", F.col("x.doc").alias("cls"), "x.bands", "x.signs"),
         "classes",
     )
 
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     ties = with_least(keyed, "key", "cls", 2).where(F.col("cls") != F.col("m")).select(F.col("cls").alias("u"), F.col("m").alias("v"))
     candidates = components(ties, scratch, "ties").select(F.col("node").alias("cls"), F.col("component").alias("pc"))
-    candidates = scratch.keep(candidates.join(classes.select("cls", "n"), "cls"), "candidates")
+    candidates = scratch.keep(candidates.join(classes.select("cls", "n", "signs"), "cls"), "candidates")
 
     # components too large for one search: blocks of members, a search for each pair of blocks
     large = (
-        candidates.groupBy("pc").agg(F.sum("n").alias("total")).where(F.col("total") > limit)
+        candidates.groupBy("pc").agg(F.sum(F.greatest("n", F.lit(LEAST))).alias("total")).where(F.col("total") > limit)
         .select("pc", F.ceil(2 * F.col("total") / limit).cast("int").alias("cut"))
     )
     large = scratch.keep(large, "large")
@@ -235,12 +300,13 @@ def near_duplicates(
     pairs = F.when(F.col("cut").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: F.least(block, o) * F.col("cut") + F.greatest(block, o))
     )
-    many = many.select("pc", "cls", pairs.alias("ks"))  # ``cut`` pairs for each member
-    many = broadcast_if_small(many, broadcast_rows, 4 * F.size("ks"))
-    sets = docs.join(many, F.col("doc") == F.col("cls")).select("pc", "ks", "cls", "text")
-    packed = sets.mapInArrow(_packer(width), "pc long, ks array<int>, cls long, blob binary")
-    links = packed.select("pc", F.explode("ks").alias("k"), "cls", "blob")  # packed once, then copied
-    links = links.repartition("pc", "k").sortWithinPartitions("pc", "k").mapInArrow(_linker(percent), "u long, v long")
+    many = many.select("pc", "cls", "signs", pairs.alias("ks"))  # ``cut`` pairs for each member
+    many = broadcast_if_small(many, broadcast_rows, 4 * F.size("ks") + 8 * F.size("signs"))
+    sets = docs.join(many, F.col("doc") == F.col("cls")).select("pc", "ks", "cls", "signs", "text")
+    packed = sets.mapInArrow(_packer(width), "pc long, ks array<int>, cls long, signs array<long>, blob binary")
+    links = packed.select("pc", F.explode("ks").alias("k"), "cls", "signs", "blob")  # packed once, then copied
+    differ = bands * rows - least_common(bands * rows, percent)
+    links = links.repartition("pc", "k").sortWithinPartitions("pc", "k").mapInArrow(_linker(percent, differ), "u long, v long")
     groups = components(links, scratch, "links").select(F.col("node").alias("cls"), F.col("component"))
     labelled = (
         classes.select("h1", "h2", "n", "members", "cls")
@@ -251,7 +317,7 @@ def near_duplicates(
     )
     labelled = scratch.keep(labelled, "labelled")
     return (
-        _labelled(signed.drop("bands"), labelled, broadcast_rows)
+        _labelled(signed.drop("bands", "signs"), labelled, broadcast_rows)
         .select(
             F.col("doc").alias(doc_id),
             F.col("n").alias("n_shingles"),
